@@ -26,11 +26,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, new_path, small_batches
+from .ranges import range_bounds, range_of, runs
 from .wordhash import mix
 
 END_ID = 1
@@ -190,42 +190,6 @@ class Shard:
         return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}")
 
 
-def _runs(batches, column: str = "shard"):
-    """(shard, batches of it) in the order they come."""
-    held = iter(batches)
-    rest = None
-
-    def of(shard):
-        nonlocal rest
-        while True:
-            if rest is None:
-                rest = next(held, None)
-                if rest is None:
-                    return
-            if not rest.num_rows:
-                rest = None
-                continue
-            shards = rest.column(column).to_numpy(zero_copy_only=False)
-            upto = int(np.argmax(shards != shard)) if (shards != shard).any() else len(shards)
-            if not upto:
-                return
-            part, rest = rest.slice(0, upto), rest.slice(upto) if upto < len(shards) else None
-            yield part
-
-    while True:
-        while rest is None or not rest.num_rows:
-            rest = next(held, None)
-            if rest is None:
-                return
-        shard = int(rest.column(column)[0].as_py())
-        yield shard, of(shard)
-
-
-def _shard_of(keys: pa.Array, bounds: np.ndarray) -> np.ndarray:
-    ids = keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-    return np.searchsorted(bounds, ids, side="right").astype(np.int32)
-
-
 class TokenStore:
     """A written store: folder, range bounds of its shards, and where each shard's ids begin in the whole."""
 
@@ -249,14 +213,8 @@ class TokenStore:
         folder = folder or new_path(spark, "token-store")
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        n = docs.select(key).count()
-        per = min(MOST_ROWS, max(LEAST_ROWS, n // (6 * spark.sparkContext.defaultParallelism)))
-        shards = max(1, -(-n // per))
-        bounds: list[int] = []
-        if shards > 1:
-            cuts = docs.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], max(10_000, 10 * shards))).head()[0]
-            bounds = sorted(set(cuts or []))
-        cut = np.array(bounds, np.int64)
+        cut = range_bounds(docs, key, LEAST_ROWS, MOST_ROWS)
+        bounds = cut.tolist()
 
         def encoded(batches):
             run = encoder(tokenizer)
@@ -264,11 +222,11 @@ class TokenStore:
             for b in batches:
                 ids = [x + end for x in run.encode(b.column(1).to_pylist())]
                 keys = b.column(0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(_shard_of(keys, cut), pa.int32()), keys, pa.array(ids, pa.binary())], ["shard", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(range_of(keys, cut), pa.int32()), keys, pa.array(ids, pa.binary())], ["shard", "key", "ids"])
 
         def written(batches):
             width = encoder(tokenizer).dtype.itemsize
-            for shard, parts in _runs(batches):
+            for shard, parts in runs(batches, "shard"):
                 rows, ids = _write_shard(folder, shard, ((key_hash(b.column("key")), b.column("ids").to_pylist(), width) for b in parts))
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([rows], pa.int64()), pa.array([ids], pa.int64())], ["shard", "n_rows", "n_ids"])
 
@@ -289,10 +247,10 @@ class TokenStore:
         def placed(batches):
             for b in batches:
                 x = b.column(0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(_shard_of(x, cut), pa.int32()), x], ["shard", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(range_of(x, cut), pa.int32()), x], ["shard", "key"])
 
         def read(batches):
-            for shard, parts in _runs(batches):
+            for shard, parts in runs(batches, "shard"):
                 if shard not in starts:
                     continue
                 file, last = Shard(folder, shard), None
