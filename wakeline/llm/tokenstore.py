@@ -37,7 +37,7 @@ END_ID = 1
 #: Rows of a shard: few for small tables, to keep all cores busy; files of some 100 MB for large ones.
 LEAST_ROWS, MOST_ROWS = 512, 65_536
 #: Words that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 MAGIC, FOOTER = b"WKTS0001", struct.Struct("<QQQQQQQQ8s")
 _NULL_KEY = 0x5851F42D4C957F2D
 _encoders: dict[str, WordEncoder] = {}
@@ -47,30 +47,74 @@ class WordEncoder:
     """The tokenizers library with a memory of words.
 
     Its normaliser and splitter never join characters across ASCII white space, so the ids of a text are
-    those of its ASCII-separated words, one after the other.
+    those of its ASCII-separated words, one after the other. New words go to the library many at a time: words of
+    letters alone are one piece each, so they share a call and are told apart by the ids that end a piece.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        end = file["model"].get("end_of_word_suffix")
+        lower = any(x["type"] == "Lowercase" for x in (file["normalizer"] or {}).get("normalizers", [file["normalizer"] or {"type": ""}]))
+        if not end or not lower:
+            raise ValueError(f"{path} has no ends of words, or keeps the case")
+        self.ends = np.zeros(max(file["model"]["vocab"].values()) + 1, bool)
+        self.ends[[v for k, v in file["model"]["vocab"].items() if k.endswith(end)]] = True
+        self.special = [x["content"].encode() for x in file["added_tokens"]]
         self.known: dict[bytes, bytes] = {}
 
+    def _whole(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            for word, made in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.known[word] = np.array(made.ids, self.dtype).tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                self._whole(some)
+                continue
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            stops = (cuts * width).tolist()
+            for word, a, b in zip(some, [0, *stops], stops, strict=False):
+                self.known[word] = raw[a:b]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        # a stop or comma after an ASCII letter is a piece of its own
+        tail = {w: w[:-1] for w in new if w[-1] in b",.;:!?|" and len(w) > 1 and 97 <= w[-2] <= 122}
+        todo = {tail.get(w, w) for w in new} | {w[-1:] for w in tail}
+        todo.difference_update(known)
+        letters, other = [], []
+        for w in todo:
+            text = w.decode()
+            (letters if text.isalpha() and text.lower().isalpha() else other).append(w)
+        self._letters(letters)
+        self._whole(other)
+        for w, base in tail.items():
+            known[w] = known[base] + known[w[-1:]]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
-        split = [x.encode().split() if x else [] for x in texts]
-        new = list(set().union(*split).difference(self.known))
+        raw = [x.encode() if x else b"" for x in texts]
+        # special strings keep their case; all else is lower-cased by the library anyway
+        split = [(x if any(s[:2] in x for s in self.special) else x.lower()).split() for x in raw]
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, made in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(made.ids, self.dtype).tobytes()
+            new = set().union(*split)
+        self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
