@@ -62,10 +62,11 @@ def knn(queries: DataFrame, reference: DataFrame, columns: list[str], k: int, by
 
     blocks = -(-n // BLOCK_ROWS)
     r = r.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     # every query visits every block of the reference, some rows at a time
     part = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(max(1, blocks)))
-    q = q.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    r = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    q = q.withColumn("part", part).withColumn("block", F.explode(every))
+    r = r.withColumn("part", F.explode(every))
 
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
