@@ -5,14 +5,15 @@
    every sample toggles one bit of a bitmap. The XOR of two sketches has a bit for each bin hit by an odd
    number of differing samples, so its population count tells the similarity, most sharply near 1.
 2. Copies collapse to their smallest id. Bands of these go to buckets; buckets of one are dropped.
-3. In each bucket, rows are compared with one hub, a few rounds over with other hubs, and linked rows become one
-   component. What is left in buckets with more than one component, the rows outside the largest one, are then
-   compared with all rows of the bucket that are not in their component. So a large group of near copies costs
-   a few comparisons a row, and no link is given up: a pair that isn't compared is in one component already.
+3. Every row is compared with one hub of its buckets, first with the most central row it shares one with (the one
+   with the most rows in its buckets), and linked rows become one component. What is left in buckets with more than
+   one component, the rows outside the largest one, are then compared with all rows of the bucket that are not in
+   their component, once for each pair. So a large group of near copies costs a few comparisons a row, and no link is
+   given up: a pair that isn't compared is in one component already.
 4. A pair is compared by size, then sketch (a bound far below the threshold), then exactly on full shingle sets.
 
 With 64 bands of 8 samples a pair at the threshold 0.8 is in no common bucket with probability 8e-6, and its
-sketch is above the bound with probability under 1e-6.
+sketch is above the bound (the expected count at a similarity 0.08 lower, over four deviations off) with as much.
 
 Defined results: words are runs of bytes other than 0x20, 0x09-0x0D after lower-casing A-Z; a text of fewer
 words than the shingle size is one shingle; a text without words, or null, has an empty set, is linked with
@@ -33,18 +34,18 @@ from .wordhash import mix, sequence_keys, shingles, utf8, words
 
 BANDS, BAND_ROWS = 64, 8
 SAMPLES = BANDS * BAND_ROWS
-SKETCH_WORDS = 8
+SKETCH_WORDS = 32
 #: Percent of the union that the intersection must reach.
 PERCENT = 80
-#: Rounds with one hub a bucket, before what is left is compared in full.
-HUB_ROUNDS = 3
+#: Rounds with one hub a row, before what is left is compared in full.
+HUB_ROUNDS = 2
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _sketch_bound(percent: int) -> int:
-    """The largest XOR population count that a linked pair may have: the expected one at 0.17 below the threshold."""
+    """The largest XOR population count that a linked pair may have: the expected one at 0.08 below the threshold."""
     bits = 64 * SKETCH_WORDS
-    return int(bits / 2 * (1 - np.exp(-4 * SAMPLES * (1 - (percent / 100 - 0.17)) / bits)))
+    return int(bits / 2 * (1 - np.exp(-4 * SAMPLES * (1 - (percent / 100 - 0.08)) / bits)))
 
 
 def samples(made: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -147,12 +148,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         firsts = firsts.dropDuplicates(["doc_id", "k1", "k2"])
     exploded = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     exploded = stage(exploded, "near-bands")
-    shared = exploded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"))
-    members = stage(exploded.join(shared, F.col("key") == F.col("k")).select("key", "id"), "near-members")
+    shared = exploded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumnRenamed("key", "k")
+    members = stage(exploded.join(shared, F.col("key") == F.col("k")).select("key", "id", "c"), "near-members")
 
-    ids = members.select("id").distinct()
-    light = stage(every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").filter("size(sketch) > 0").join(ids, "id", "left_semi").dropDuplicates(["id", "n", "sketch"]), "near-sketches")
-    sets = texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(size), "id long, items array<long>")
+    # how many rows an id meets in its buckets, and these buckets
+    ids = stage(members.groupBy("id").agg(F.sum("c").alias("central"), F.collect_set("key").alias("keys")), "near-ids")
+    light = stage(every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").filter("size(sketch) > 0").join(ids.select("id", "keys"), "id").dropDuplicates(["id", "n", "sketch"]), "near-sketches")
+    sets = texts.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(size), "id long, items array<long>")
     sets = stage(sets.dropDuplicates(["id", "items"]) if repeated else sets, "near-sets")
     bound = _sketch_bound(percent)
 
@@ -174,18 +176,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = None
     for turn in range(HUB_ROUNDS + 1):
         # every member with its component; buckets of one component have nothing more to tell
-        known = members.join(labels.select("id", "component"), "id") if links is not None else members.withColumn("component", F.col("id"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "component", "id").alias("h"), F.col("id").alias("hub"), F.col("component").alias("of"))).alias("m")).filter("lo <> hi")
-        rest = known.join(mixed.select(F.col("key").alias("k"), "m.hub", "m.of"), F.col("key") == F.col("k"))
+        known = members.join(labels, "id") if links is not None else members.withColumn("component", F.col("id"))
         if turn < HUB_ROUNDS:
-            pairs = rest.filter("component <> of").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+            if turn == 0:
+                known = known.join(ids.select("id", "central"), "id").withColumn("rank", F.struct("central", "id"))
+            else:
+                known = known.withColumn("rank", F.struct(F.xxhash64(F.lit(turn), "id"), "id"))
+            tops = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("rank").alias("top"), F.max_by("component", "rank").alias("of")).filter("lo <> hi")
+            rest = known.join(tops.select(F.col("key").alias("k"), "top", "of"), F.col("key") == F.col("k")).filter("component <> of")
+            chosen = rest.groupBy("id").agg(F.max("top").alias("top")).select("id", F.col("top.id").alias("hub"))
+            pairs = like(chosen.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
         else:
-            open_ = stage(rest.select("key", "id", "component").join(light, "id"), "near-open")
-            most = open_.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("m")).select(F.col("key").alias("k"), F.col("m.component").alias("largest"))
-            left = open_.join(most, F.col("key") == F.col("k")).filter("component <> largest").select(F.col("key").alias("k_l"), F.col("id").alias("l"), F.col("component").alias("c_l"), F.col("n").alias("n_l"), F.col("sketch").alias("s_l"))
+            mixed = known.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m")).filter("parts > 1").select(F.col("key").alias("k"), F.col("m.component").alias("largest"))
+            open_ = stage(known.join(mixed, F.col("key") == F.col("k")).select("key", "id", "component", "largest").join(light, "id"), "near-open")
+            left = open_.filter("component <> largest").select(F.col("key").alias("k_l"), F.col("id").alias("l"), F.col("component").alias("c_l"), F.col("largest").alias("g_l"), F.col("n").alias("n_l"), F.col("sketch").alias("s_l"), F.col("keys").alias("keys_l"))
             allowed = (100 * F.least("n", "n_l") >= percent * F.greatest("n", "n_l")) & (_unlike("sketch", "s_l") <= bound)
-            pairs = open_.join(left, (F.col("key") == F.col("k_l")) & (F.col("component") != F.col("c_l")) & allowed).select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v")).distinct()
-        found = linked(like(pairs) if turn < HUB_ROUNDS else pairs)
+            # two rows outside the largest component meet twice; a pair of several common buckets counts in the least
+            once = ((F.col("component") == F.col("g_l")) | (F.col("id") < F.col("l"))) & (F.col("key") == F.array_min(F.array_intersect("keys", "keys_l")))
+            pairs = open_.join(left, (F.col("key") == F.col("k_l")) & (F.col("component") != F.col("c_l")) & allowed & once).select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v")).distinct()
+        found = linked(pairs)
         links = found if links is None else links.union(found)
         links = stage(links, "near-links")
         grouped = stage(components(links), "near-components")
