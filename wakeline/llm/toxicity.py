@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
 fit() takes a bounded sample of labelled rows (PER_CLASS of each label, by a hash of the id), picks the words and word
-beginnings that are marks of label 1 there, and makes TF-IDF vectors over these. The examples lie in an inverted index
+beginnings that are marks of label 1 there (near copies share one vote), and makes TF-IDF vectors over these. The examples lie in an inverted index
 cut into blocks: each posting list knows the largest weight in each block, so a bound on the cosine of a whole block
 is known without reading it, and blocks are read in falling order of their bounds until none can hold a nearer
 example: the NEIGHBOURS found are exact. Their cosines are the weights of their votes, and a monotone map fitted on
@@ -28,12 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches
+from .neardup import samples
+from .wordhash import mix, shingles, utf8, words
 
 #: Bounds of what is gathered: examples of each label, and code points of each.
-PER_CLASS = 2500
+PER_CLASS = 2000
 #: Marks that are kept, and the least evidence for one.
-MARKS, LEAST_Z, LEAST_RATIO = 1024, 2.6, 4.0
+MARKS, LEAST_Z, LEAST_RATIO = 1024, 3.4, 4.0
 BEGINNINGS = (4, 5, 6)
+#: A mark that a text has so often is a mark of its own.
+OFTEN = (2, 4)
 LONGEST_WORD = 40
 NEIGHBOURS, BLOCK = 15, 64
 THRESHOLD = 0.3
@@ -48,6 +52,34 @@ def counts(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
+def copy_weights(texts: list[str | None]) -> np.ndarray:
+    """1 / size of each text's group of near copies: texts that share three MinHash samples in a row, and theirs."""
+    root = np.arange(len(texts))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    seen: dict[int, int] = {}
+    for start in range(0, len(texts), 100):  # a few texts at a time, for the driver's memory
+        made, cuts = shingles(*words(*utf8(pa.array(texts[start : start + 100], pa.large_string()))), 5)
+        has = (start + np.flatnonzero(np.diff(cuts))).tolist()
+        kept = mix(samples(made, cuts)[:, :192].reshape(len(has), 64, 3) * np.array([1, 3, 5], np.uint64)).sum(axis=2)
+        for i, row in zip(has, kept.tolist(), strict=True):
+            for band, key in enumerate(row):
+                a, b = find(i), find(seen.setdefault((key + band) & 0xFFFFFFFFFFFFFFFF, i))
+                root[max(a, b)] = min(a, b)
+    groups = np.array([find(i) for i in range(len(texts))], np.int64)
+    return 1.0 / np.bincount(groups, minlength=len(texts))[groups]
+
+
+def often(tf: dict[str, int]) -> list[str]:
+    """Marks with their repeated forms."""
+    return [*tf, *(f"{m}#{k}" for m, n in tf.items() if n > 1 for k in OFTEN if n >= k)]
+
+
 class BlockMaxIndex:
     """Exact nearest rows of a sparse matrix of unit vectors by cosine."""
 
@@ -91,19 +123,19 @@ class Model:
     def __init__(self, examples: list[tuple[int, str, int]], rate: float):
         """examples: (id, text, label); rate: the share of label 1 among all labelled rows."""
         examples = sorted(examples, key=lambda x: x[0])
-        bags = [counts(x[1]) for x in examples]
+        texts = [x[1] for x in examples]
         labels = np.array([x[2] for x in examples], np.int64)
         n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
         self.ids, self.labels = [], np.zeros(0)
-        self.marks, self.idf, self.index, self.empty = {}, np.zeros(0), BlockMaxIndex([]), 0.0
+        self.marks, self.bases, self.idf, self.index, self.empty = {}, set(), np.zeros(0), BlockMaxIndex([]), 0.0
         self.steps, self.levels = np.array([0.0]), np.array([0.0])
         if not n.all():
             return
         weight = np.array([(1 - rate) / n[0], rate / n[1]])
-        self._pick(bags, labels, n)
-        vectors = [self.vector(x) for x in bags]
-        self.idf = np.log((len(bags) + 1) / (1 + np.bincount([t for v in vectors for t in v], minlength=len(self.marks)))) + 1
-        vectors = [self.vector(x) for x in bags]
+        self._pick(texts, labels, copy_weights(texts))
+        vectors = [self.vector(counts(x)) for x in texts]
+        self.idf = np.log((len(texts) + 1) / (1 + np.bincount([t for v in vectors for t in v], minlength=len(self.marks)))) + 1
+        vectors = [self.vector(counts(x)) for x in texts]
         none = np.array([not v for v in vectors])
         self.empty = float(((none & (labels == 1)).sum() * weight[1] + 0.5 * weight.min()) / ((weight[labels] * none).sum() + weight.min()))
         # rows with the same strongest mark lie together, which makes blocks' bounds tight
@@ -114,36 +146,61 @@ class Model:
         votes = np.array([self.vote(self.index.nearest(vectors[i], NEIGHBOURS, without=place)) for place, i in enumerate(order)])
         self._calibrate(votes)
 
-    def _pick(self, bags: list[Counter], labels: np.ndarray, n: np.ndarray) -> None:
-        seen = (Counter(), Counter())
-        for bag, label in zip(bags, labels, strict=True):
-            seen[label].update({m for w in bag for m in word_marks(w)})
+    def _pick(self, texts: list[str | None], labels: np.ndarray, copies: np.ndarray) -> None:
+        """The marks. Those of label 0 are counted only where label 1 has them twice, which keeps the tables small."""
+        n = [float(copies[labels == y].sum()) for y in (0, 1)]
+        seen: tuple[dict[str, float], dict[str, float]] = ({}, {})
+        for y in (1, 0):
+            for text, label, share in zip(texts, labels.tolist(), copies.tolist(), strict=True):
+                if label != y:
+                    continue
+                tf: dict[str, int] = {}
+                for word, k in counts(text).items():
+                    for mark in word_marks(word):
+                        tf[mark] = tf.get(mark, 0) + k
+                for mark in often(tf):
+                    if y or mark in seen[1]:
+                        seen[y][mark] = seen[y].get(mark, 0.0) + share
+            if y:
+                seen = (seen[0], {m: a for m, a in seen[1].items() if a > 1})
         ranked = []
         for mark, a in seen[1].items():
-            b = seen[0][mark]
+            b = seen[0].get(mark, 0.0)
             odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
             z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if a > 1 and z > LEAST_Z and a / n[1] > LEAST_RATIO * b / n[0]:
+            if z > LEAST_Z and a / n[1] > LEAST_RATIO * b / n[0]:
                 ranked.append((-z, mark))
+        # a beginning says no more than a longer mark that nearly all of its support has
+        longer: dict[str, float] = {}
+        for _, mark in ranked:
+            if "#" not in mark:
+                for k in range(BEGINNINGS[0], len(mark.rstrip("*")) + (not mark.endswith("*"))):
+                    longer[mark[:k]] = max(longer.get(mark[:k], 0.0), seen[1][mark])
+        weak = {m for _, m in ranked if m.endswith("*") and longer.get(m[:-1], 0.0) >= 0.9 * seen[1][m]}
+        ranked = [(z, m) for z, m in ranked if m.partition("#")[0] not in weak]
         self.marks = {mark: i for i, (_, mark) in enumerate(sorted(ranked)[:MARKS])}
+        self.bases = {m.partition("#")[0] for m in self.marks}
         self.idf = np.ones(len(self.marks))
 
     def vector(self, bag: Counter) -> dict[int, float]:
         """The unit TF-IDF vector of a bag of words over the marks."""
-        tf: dict[int, int] = {}
-        get, a, b, c = self.marks.get, *BEGINNINGS
+        tf: dict[str, int] = {}
+        bases, (a, b, c) = self.bases, BEGINNINGS
         for word, k in bag.items():
-            if (t := get(word[:LONGEST_WORD])) is not None:
-                tf[t] = tf.get(t, 0) + k
+            if (m := word[:LONGEST_WORD]) in bases:
+                tf[m] = tf.get(m, 0) + k
             if (size := len(word)) > a:
-                if (t := get(word[:a] + "*")) is not None:
-                    tf[t] = tf.get(t, 0) + k
+                if (m := word[:a] + "*") in bases:
+                    tf[m] = tf.get(m, 0) + k
                 if size > b:
-                    if (t := get(word[:b] + "*")) is not None:
-                        tf[t] = tf.get(t, 0) + k
-                    if size > c and (t := get(word[:c] + "*")) is not None:
-                        tf[t] = tf.get(t, 0) + k
-        out = {t: (1 + math.log(k)) * float(self.idf[t]) for t, k in sorted(tf.items())}
+                    if (m := word[:b] + "*") in bases:
+                        tf[m] = tf.get(m, 0) + k
+                    if size > c and (m := word[:c] + "*") in bases:
+                        tf[m] = tf.get(m, 0) + k
+        if not tf:
+            return {}
+        found = sorted((self.marks[m], m) for m in often(tf) if m in self.marks)
+        out = {t: (1 + math.log(tf[m.partition("#")[0]])) * float(self.idf[t]) for t, m in found}
         norm = math.sqrt(sum(x * x for x in out.values()))
         return {t: x / norm for t, x in out.items()}
 
