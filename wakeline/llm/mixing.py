@@ -26,7 +26,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
 SEED = "mix-1"
 #: Bits of a draw, and those that choose its histogram bin.
-DRAW_BITS, BIN_BITS = 52, 14
+DRAW_BITS, BIN_BITS = 52, 12
 #: Source tables of up to so many rows are broadcast; beyond it Spark chooses the join.
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
