@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, spare
 from .pretok import pieces
 
 #: Pieces that a worker remembers, and the longest one that it does.
@@ -142,7 +142,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, ids binary, piece_ids array<int>, piece_bytes array<int>")
+    return docs.select(*keep, F.col(text).alias(spare(keep, "_text"))).mapInArrow(run, f"{kinds}, ids binary, piece_ids array<int>, piece_bytes array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -154,7 +154,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array([table.decode(x) for x in b.column(len(keep)).to_pylist()], pa.binary())], [*keep, "decoded"])
 
     kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, f"{kinds}, decoded binary")
+    return encoded.select(*keep, F.col(ids).alias(spare(keep, "_ids"))).mapInArrow(run, f"{kinds}, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -173,7 +173,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
                 )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*keep, F.col(text).alias(spare(keep, "_text"))).mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

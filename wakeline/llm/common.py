@@ -7,9 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Spark hands to a Python worker at a time; whole texts may be long.
 BATCH_ROWS = 1000
+#: Ids (8 bytes each, 32 in a hash table) that are sent to all tasks rather than have texts shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_ids(rows: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose key is among ids (left_semi) or not (left_anti); ids has one column id, distinct.
+
+    Up to BROADCAST_IDS of them go to all tasks, so that wide rows stay where they are; beyond it, rows are shuffled.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    name = spare(rows.columns, "_id_")
+    ids = ids.select(F.col("id").alias(name))
+    return rows.join(F.broadcast(ids) if few else ids, rows[key] == ids[name], how)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -60,3 +74,11 @@ def small_batches(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def spare(columns, name: str) -> str:
+    """name, or with underscores added until no column begins with it."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name

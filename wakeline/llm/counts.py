@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_BYTES, CACHE_PIECES, chunks
-from .common import documents, small_batches
+from .common import documents, small_batches, spare
 from .pretok import pieces
 
 LIMIT = 512
@@ -211,7 +211,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                 )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(*keep, F.col(text).alias(spare(keep, "_text"))).mapInArrow(run, f"{kinds}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

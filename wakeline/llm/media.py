@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, spare
 
 RATE, UP, DOWN = 12_000, 2, 3
 OUT_RATE = RATE * UP // DOWN
@@ -137,7 +137,7 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(pad(x)) for x in raw], pa.binary())], [*keep, "n_bytes", "media"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, n_bytes long, media binary")
+    return docs.select(*keep, F.col(text).alias(spare(keep, "_text"))).mapInArrow(run, f"{kinds}, n_bytes long, media binary")
 
 
 def describe(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, spare
 from .neardup import samples
 from .wordhash import mix, shingles, utf8, words
 
@@ -267,7 +267,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, {prefix}score double, {prefix}predicted int, {prefix}evidence array<long>")
+    return docs.select(*keep, F.col(text).alias(spare(keep, "_text"))).mapInArrow(run, f"{kinds}, {prefix}score double, {prefix}predicted int, {prefix}evidence array<long>")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
