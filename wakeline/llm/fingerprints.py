@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches
+from .neardup import SAMPLES, near_duplicates
 from .ranges import range_bounds, range_of, runs
 from .wordhash import mix, shingles, utf8, words
 
 PERMUTATIONS = 128
 SHINGLE_WORDS = 5
 SHORT_WORDS, SHORT_BYTES = 40, 6
-_seeds = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_A, _B = _seeds[:PERMUTATIONS] | np.uint64(1), _seeds[PERMUTATIONS:]
+_seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_A, _B = _seeds[:SAMPLES] | np.uint64(1), _seeds[SAMPLES:]
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,20 +55,34 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return every[order], np.searchsorted(text[order], np.arange(len(cuts)))
 
 
+def minima(first: np.ndarray, k: int, held: np.ndarray) -> np.ndarray:
+    """The least value of universal hash function k over the sets that begin at first; held[0] has the shingles, held[1] is room."""
+    np.multiply(held[0], _A[k], out=held[1])
+    np.add(held[1], _B[k], out=held[1])
+    np.right_shift(held[1], np.uint64(32), out=held[1])
+    return np.minimum.reduceat(held[1], first)
+
+
+def permutation_samples(made: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """SAMPLES values for each non-empty set, one permutation each."""
+    first = cuts[:-1][np.diff(cuts) > 0]
+    out = np.empty((len(first), SAMPLES), np.uint64)
+    if len(first):
+        held = np.stack([made >> np.uint64(32), made])
+        for k in range(SAMPLES):
+            out[:, k] = minima(first, k, held)
+    return out
+
+
 def signatures(made: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """A row of PERMUTATIONS 16-bit values for each text; the empty set's are all 0xFFFF."""
     out = np.full((len(cuts) - 1, PERMUTATIONS), 0xFFFF, np.uint16)
     has = np.flatnonzero(np.diff(cuts))
     if len(has):
-        first = cuts[:-1][has]
-        x = made >> np.uint64(32)
-        held, upper = np.empty_like(x), np.uint64(32)
+        first, held = cuts[:-1][has], np.stack([made >> np.uint64(32), made])
         for k in range(PERMUTATIONS):
-            np.multiply(x, _A[k], out=held)
-            np.add(held, _B[k], out=held)
-            np.right_shift(held, upper, out=held)
-            # the least 32-bit value; of it, 16 mixed bits are kept
-            out[has, k] = (mix(np.minimum.reduceat(held, first)) >> np.uint64(48)).astype(np.uint16)
+            # of the least 32-bit value, 16 mixed bits are kept
+            out[has, k] = (mix(minima(first, k, held)) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
@@ -173,9 +188,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Groups of similar documents: bands of MinHash signatures joined in Spark, Jaccard verified on full sets of five-word shingles."""
-    from .neardup import near_duplicates
-
-    return near_duplicates(docs, size=SHINGLE_WORDS, percent=percent)
+    return near_duplicates(docs, size=SHINGLE_WORDS, percent=percent, sampler=permutation_samples)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
