@@ -79,8 +79,8 @@ near AS (SELECT * FROM (SELECT a.bucket AS moment, a.entity_id, a.speed_kt, {hav
   row_number() OVER (PARTITION BY a.bucket, a.entity_id ORDER BY {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')}, b.entity_id) AS k FROM firsts a JOIN firsts b ON a.bucket = b.bucket AND a.entity_id <> b.entity_id) WHERE k = 1),
 runs AS (SELECT *, sum(CASE WHEN nn_dist_nm < 1 THEN 0 ELSE 1 END) OVER (PARTITION BY entity_id ORDER BY moment ROWS UNBOUNDED PRECEDING) AS run FROM near),
 episodes AS (SELECT entity_id, run, count(*) AS n, min(moment) AS begin_, max(moment) AS end_ FROM runs WHERE nn_dist_nm < 1 GROUP BY entity_id, run),
-prox AS (SELECT e.entity_id, coalesce(min(nn_dist_nm), 9999.0) AS min_nn_dist_nm, coalesce(avg(nn_dist_nm), 9999.0) AS mean_nn_dist_nm, 0.5 * count(CASE WHEN nn_dist_nm < 1 THEN 1 END) AS hours_within_1nm, 0.5 * count(CASE WHEN nn_dist_nm < 2 THEN 1 END) AS hours_within_2nm,
-  (SELECT count(*) FROM episodes p WHERE p.entity_id = e.entity_id AND p.n * 0.5 >= 1.0) AS sustained_close_episodes, 0.5 * count(CASE WHEN nn_dist_nm < 1 AND speed_kt < 1 AND nn_speed_kt < 1 THEN 1 END) AS co_slow_hours
+prox AS (SELECT e.entity_id, coalesce(min(nn_dist_nm), 9999.0) AS min_nn_dist_nm, coalesce(avg(nn_dist_nm), 9999.0) AS mean_nn_dist_nm, 0.5::DOUBLE * count(CASE WHEN nn_dist_nm < 1 THEN 1 END) AS hours_within_1nm, 0.5::DOUBLE * count(CASE WHEN nn_dist_nm < 2 THEN 1 END) AS hours_within_2nm,
+  (SELECT count(*) FROM episodes p WHERE p.entity_id = e.entity_id AND p.n * 0.5 >= 1.0) AS sustained_close_episodes, 0.5::DOUBLE * count(CASE WHEN nn_dist_nm < 1 AND speed_kt < 1 AND nn_speed_kt < 1 THEN 1 END) AS co_slow_hours
   FROM (SELECT DISTINCT entity_id FROM pings) e LEFT JOIN near n ON n.entity_id = e.entity_id GROUP BY e.entity_id)"""
 PROX = ["min_nn_dist_nm", "mean_nn_dist_nm", "hours_within_1nm", "hours_within_2nm", "sustained_close_episodes", "co_slow_hours"]
 
