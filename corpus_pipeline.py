@@ -11,32 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import bpe, mixing, neardup, toxicity
-from wakeline.llm.common import documents, stage
+from wakeline.llm.common import documents, spare, stage, with_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold; labels come from rows that aren't held out."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns), prefix="_toxic_")
-    return scored.filter("_toxic_predicted = 0").select(*docs.columns)
+    prefix = spare(docs.columns, "_toxic_")
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), prefix=prefix)
+    return scored.filter(F.col(f"{prefix}predicted") == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group; rows without an id stay, repeated rows become one."""
-    kept = neardup.near_duplicates(docs, size=5).filter("kept and doc_id is not null").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = stage(kept, "pipeline-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if kept.filter("n > 1").limit(1).count():
-        out = out.dropDuplicates()
-    return out.unionByName(docs.filter("doc_id is null"))
+    found = stage(neardup.near_duplicates(docs, size=5).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "pipeline-found")
+    out = with_ids(docs, "doc_id", found.filter("not kept").select(F.col("doc_id").alias("id")), "left_anti").select(*docs.columns)
+    return out.dropDuplicates() if found.filter("n > 1").limit(1).count() else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as many times as the mix takes it."""
-    taken = mixing.mix(docs).filter("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("_repeats"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "_id"), on)
-    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
+    name = spare(docs.columns, "_mix_")
+    taken = mixing.mix(docs).filter("repeats > 0").groupBy(F.col("doc_id").alias(f"{name}id")).agg(F.max("repeats").cast("int").alias(f"{name}repeats"))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(f"{name}id")))
+    return rows.withColumn(f"{name}turn", F.explode(F.sequence(F.lit(1), F.col(f"{name}repeats")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Spark hands to a Python worker at a time; whole texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 #: Ids (8 bytes each, 32 in a hash table) that are sent to all tasks rather than have texts shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -72,6 +73,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """Give back what a worker's allocators hold but don't use; called at the end of a task, as workers live on."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

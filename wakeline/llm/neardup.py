@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stage
+from .common import documents, small_batches, stage, trim, with_ids
 from .graph import components
 from .wordhash import mix, sequence_keys, shingles, utf8, words
 
@@ -94,7 +94,7 @@ def sketches(sampled: np.ndarray) -> np.ndarray:
 _FEATURES = "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sketch array<long>"
 
 
-def _features(size: int):
+def _features(size: int, sampler):
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 250):
@@ -104,13 +104,14 @@ def _features(size: int):
                 k1, k2 = sequence_keys(h, index)
                 made, cuts = shingles(h, index, size)
                 n = np.array([len(np.unique(made[a:z])) for a, z in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
-                sampled = samples(made, cuts)
+                sampled = sampler(made, cuts)
                 has = n > 0
                 ends = np.concatenate([[0], np.cumsum(has)])
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(ends * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(k1, mask=~has), pa.array(k2, mask=~has), pa.array(n), lists(bands(sampled)), lists(sketches(sampled))], ["doc_id", "k1", "k2", "n_shingles", "bands", "sketch"]
                 )
+        trim()
 
     return run
 
@@ -123,6 +124,7 @@ def _sets(size: int):
             each = [np.unique(made[a:z]).view(np.int64) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64)))], ["id", "items"])
+        trim()
 
     return run
 
@@ -132,12 +134,12 @@ def _unlike(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT, sampler=samples) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row. sampler makes SAMPLES MinHash values of each non-empty set."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = stage(texts.mapInArrow(_features(size), _FEATURES), "near-features")
+    every = stage(texts.mapInArrow(_features(size, sampler), _FEATURES), "near-features")
     copies = stage(every.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "near-copies")
     reps = copies.filter("rep is not null").select(F.col("rep").alias("id"), "n")
 
@@ -154,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # how many rows an id meets in its buckets, and these buckets
     ids = stage(members.groupBy("id").agg(F.sum("c").alias("central"), F.collect_set("key").alias("keys")), "near-ids")
     light = stage(every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").filter("size(sketch) > 0").join(ids.select("id", "keys"), "id").dropDuplicates(["id", "n", "sketch"]), "near-sketches")
-    sets = texts.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(size), "id long, items array<long>")
+    sets = with_ids(texts, "doc_id", ids.select("id")).mapInArrow(_sets(size), "id long, items array<long>")
     sets = stage(sets.dropDuplicates(["id", "items"]) if repeated else sets, "near-sets")
     bound = _sketch_bound(percent)
 
