@@ -46,8 +46,11 @@ def learnt(features: DataFrame, name: str, trees: int = iforest.TREES) -> DataFr
     columns, backwards, share, k = LEARNT[name]
     filled = features.select("entity_id", *((-_or_zero(c) if c in backwards else _or_zero(c)).alias(c) for c in columns))
     scaled = robust_scale(filled, columns).persist()  # one row for each entity
-    forest = min_max(iforest.score(scaled, iforest.fit(scaled, columns, "entity_id", trees), "_f"), "_f", "_forest").select("entity_id", "_forest")
-    factor = min_max(lof(scaled, columns, k, "entity_id"), "lof", "_lof").select(F.col("id").alias("entity_id"), "_lof")
+    # both are read twice, for the range and for the values; they have one row for each entity
+    outlying = iforest.score(scaled, iforest.fit(scaled, columns, "entity_id", trees), "_f").select("entity_id", "_f").persist()
+    local = lof(scaled, columns, k, "entity_id").persist()
+    forest = min_max(outlying, "_f", "_forest").select("entity_id", "_forest")
+    factor = min_max(local, "lof", "_lof").select(F.col("id").alias("entity_id"), "_lof")
     return forest.join(factor, "entity_id").select("entity_id", (F.col("_forest") * share + F.col("_lof") * (1 - share)).alias(name))
 
 

@@ -21,7 +21,7 @@ def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """
     groups = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
     cuts = groups.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 1000)).head()[0] or []
-    place = sum((F.when(F.col("s") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("s"))) if cuts else F.lit(0)
     placed = groups.withColumn("r", place)
     sums = placed.groupBy("r").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,16 +32,16 @@ def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     return run.join(F.broadcast(base), "r").select("s", "pos", "neg", (F.col("p0") + F.col("p1")).alias("pos_below"), (F.col("n0") + F.col("n1")).alias("neg_below"))
 
 
-def auroc(df: DataFrame, score: str = "ensemble_score", label: str = "true_anomalous") -> DataFrame:
-    """One row, auroc: ties count half; NULL without both labels."""
-    g = by_score(df, score, label)
+def auroc(df: DataFrame, score: str = "ensemble_score", label: str = "true_anomalous", counted: DataFrame | None = None) -> DataFrame:
+    """One row, auroc: ties count half; NULL without both labels. counted is by_score's result, if it is at hand."""
+    g = by_score(df, score, label) if counted is None else counted
     p, n = F.sum("pos"), F.sum("neg")
     return g.agg(F.when((p > 0) & (n > 0), F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / (p.cast("double") * n)).alias("auroc"))
 
 
-def average_precision(df: DataFrame, score: str = "ensemble_score", label: str = "true_anomalous") -> DataFrame:
+def average_precision(df: DataFrame, score: str = "ensemble_score", label: str = "true_anomalous", counted: DataFrame | None = None) -> DataFrame:
     """One row, average_precision: the sum over thresholds of gained recall times precision; NULL without positives."""
-    g = by_score(df, score, label)
+    g = by_score(df, score, label) if counted is None else counted
     total = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     at = g.crossJoin(F.broadcast(total))  # one row
     tp, fp = F.col("P") - F.col("pos_below"), F.col("N") - F.col("neg_below")
@@ -66,7 +66,8 @@ def evaluate(df: DataFrame, threshold: float = THRESHOLD, score: str = "ensemble
         return None
     said, true = F.col(score) >= threshold, F.col(label) == 1
     c = df.agg(F.count("*").alias("n_contacts"), _count(true).alias("n_true_anomalous"), _count(said).alias("n_flagged"), _count(said & true).alias("tp"), _count(said & ~true).alias("fp"), _count(~said & true).alias("fn"), _count(~said & ~true).alias("tn"))
-    c = _rates(c).crossJoin(F.broadcast(auroc(df, score, label))).crossJoin(F.broadcast(average_precision(df, score, label)))
+    counted = by_score(df, score, label).persist()  # a row for each distinct score
+    c = _rates(c).crossJoin(F.broadcast(auroc(df, score, label, counted))).crossJoin(F.broadcast(average_precision(df, score, label, counted)))
     four = [F.round(x, 4).alias(x) for x in ("precision", "recall", "f1", "auroc", "average_precision")]
     return c.select(F.lit(float(threshold)).alias("threshold"), "n_contacts", "n_true_anomalous", "n_flagged", "tp", "fp", "fn", "tn", *four)
 
