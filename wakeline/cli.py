@@ -16,6 +16,7 @@ from .operators.simulate import ANOMALIES, Config, drop_columns, simulate
 from .plans.pipeline import build_feature_matrix
 from .sources import sinks
 from .sources.pings import load_summary, read_csv
+from .sources.staging import staged
 
 
 def weight(text: str) -> tuple[str, float]:
@@ -70,7 +71,8 @@ def report(metrics: dict, types, top) -> str:
 
 
 def run_detect(spark: SparkSession, a: argparse.Namespace) -> None:
-    pings = read_csv(spark, a.input, labels=not a.no_eval, chunk_rows=a.chunksize)
+    # text is parsed once; all later reads are columnar
+    pings = staged(read_csv(spark, a.input, labels=not a.no_eval, chunk_rows=a.chunksize), "pings")
     seen = load_summary(pings).head()
     print(f"{seen['n_rows']} pings of {seen['n_entities']} entities")
     known: dict = {}
@@ -79,10 +81,10 @@ def run_detect(spark: SparkSession, a: argparse.Namespace) -> None:
         features, known["interval"], known["rate"] = build_feature_matrix(pings, a.interval)
         return features
 
-    features = sinks.cached_features(spark, a.cache_features, make) if a.cache_features else make().persist()
+    features = sinks.cached_features(spark, a.cache_features, make) if a.cache_features else staged(make(), "features")
     rate = a.contamination if a.contamination is not None else known.get("rate")
     print(f"interval {known.get('interval', a.interval)} h, contamination {rate}")
-    found = detect(features, a.threshold).persist()
+    found = staged(detect(features, a.threshold), "scores")
     if not a.no_eval and (metrics := ev.evaluate(found, a.threshold)) is not None:
         types = ev.per_type_breakdown(found, a.threshold)
         print(report(metrics.head().asDict(), types.toPandas() if types is not None else None, ev.top_detections(found).toPandas()))

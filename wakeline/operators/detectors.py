@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import clamp
+from ..sources.staging import staged
 from . import iforest
 from .neighbors import lof
 from .scaling import min_max, robust_scale
@@ -45,10 +46,10 @@ def learnt(features: DataFrame, name: str, trees: int = iforest.TREES) -> DataFr
     """entity_id and the detector's score: forest and LOF on robustly scaled columns, each brought to [0, 1], blended."""
     columns, backwards, share, k = LEARNT[name]
     filled = features.select("entity_id", *((-_or_zero(c) if c in backwards else _or_zero(c)).alias(c) for c in columns))
-    scaled = robust_scale(filled, columns).persist()  # one row for each entity
+    scaled = staged(robust_scale(filled, columns), "scaled")  # one row for each entity
     # both are read twice, for the range and for the values; they have one row for each entity
-    outlying = iforest.score(scaled, iforest.fit(scaled, columns, "entity_id", trees), "_f").select("entity_id", "_f").persist()
-    local = lof(scaled, columns, k, "entity_id").persist()
+    outlying = staged(iforest.score(scaled, iforest.fit(scaled, columns, "entity_id", trees), "_f").select("entity_id", "_f"), "forest")
+    local = staged(lof(scaled, columns, k, "entity_id"), "lof")
     forest = min_max(outlying, "_f", "_forest").select("entity_id", "_forest")
     factor = min_max(local, "lof", "_lof").select(F.col("id").alias("entity_id"), "_lof")
     return forest.join(factor, "entity_id").select("entity_id", (F.col("_forest") * share + F.col("_lof") * (1 - share)).alias(name))
@@ -73,9 +74,10 @@ def flag(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def detect(features: DataFrame, threshold: float = THRESHOLD, trees: int = iforest.TREES) -> DataFrame:
     """All scores, the flag, and the truth columns if there are any. The truth is no input of a score."""
+    features = staged(features, "features")  # one row for each entity; its plan is long
     truth = [c for c in ("true_anomalous", "true_type") if c in features.columns]
     scores = features.select("entity_id", teleport().alias("score_teleport"), blackout().alias("score_blackout"), *truth)
     for name in LEARNT:
-        scores = scores.join(learnt(features.drop(*truth), name, trees), "entity_id")
+        scores = scores.join(staged(learnt(features.drop(*truth), name, trees), "score"), "entity_id")
     out = flag(ensemble(scores), threshold)
     return out.select("entity_id", *WEIGHTS, "ensemble_score", "ensemble_mean", "flagged", *truth)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: A reference up to so large is broadcast; beyond it, rows of one block.
 BROADCAST_BYTES, BLOCK_ROWS = 64 << 20, 50_000
 _EDGES = "id long, nn_id long, dist double"
@@ -94,7 +96,7 @@ def lof(df: DataFrame, columns: list[str], k: int = 20, id_col: str = "id") -> D
     n = df.count()
     if n < 2:
         return df.select(F.col(id_col).cast("long").alias("id"), F.lit(1.0).alias("lof"))
-    edges = knn(df, df, columns, min(k, n - 1), None, id_col).persist()
+    edges = staged(knn(df, df, columns, min(k, n - 1), None, id_col), "neighbours")
     reach = edges.groupBy("id").agg(F.max("dist").alias("k_dist"))
     density = (
         edges.join(reach.select(F.col("id").alias("nn_id"), "k_dist"), "nn_id")

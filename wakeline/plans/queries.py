@@ -12,6 +12,7 @@ from ..operators import detectors, evaluate, iforest, kinematics, neighbors, pro
 from ..operators import features as feat
 from ..sources import pings as src
 from ..sources import sinks
+from ..sources.staging import shared_path
 from . import pipeline
 from . import sql as S
 
@@ -63,18 +64,10 @@ def _(spark, d):
     return src.load_summary(_pings(spark, d))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A path that all executors see: in the checkpoint folder, else in the warehouse."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("feature_cache_roundtrip", f"{S.BASE} {S.group(S.gaps())}")
 def _(spark, d):
     make = lambda: feat.track_features(_pings(spark, d), INTERVAL_H, hull=False).select("entity_id", *feat.GAPS)
-    return six(sinks.cached_features(spark, _folder(spark, "features"), make))
+    return six(sinks.cached_features(spark, shared_path(spark, "features"), make))
 
 
 @query("trip_segments", f"""WITH {S.PINGS}, a AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN anomaly_type IS DISTINCT FROM lag(anomaly_type) OVER w THEN 1 ELSE 0 END AS new_, lead(timestamp) OVER w AS nts FROM pings WINDOW w AS (PARTITION BY entity_id ORDER BY timestamp, event_id)),
