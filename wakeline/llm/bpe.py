@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, spare
+from .common import documents, small_batches, spare, trim
 from .pretok import pieces
 
 #: Pieces that a worker remembers, and the longest one that it does.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+CACHE_PIECES, CACHE_BYTES = 150_000, 64
 #: Code points taken together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _loaded: dict[str, Ranks] = {}
 
 
@@ -171,6 +171,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
                     [*(b.column(i).slice(at, len(some)) for i in range(len(keep))), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(table.decode(x)) for x in ids])],
                     [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        trim()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col(text).alias(spare(keep, "_text"))).mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_BYTES, CACHE_PIECES, chunks
+from .bpe import CACHE_BYTES, chunks
 from .common import documents, small_batches, spare
 from .pretok import pieces
 
 LIMIT = 512
 MAX_STATES = 60_000
+#: Pieces that a worker remembers.
+CACHE_PIECES = 400_000
 _loaded: dict[str, Counter] = {}
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, spare
+from .common import documents, small_batches, spare, trim
 from .neardup import samples
 from .wordhash import mix, shingles, utf8, words
 
@@ -265,6 +265,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(keep))), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array([x[1] for x in made], pa.list_(pa.int64()))], [*keep, f"{prefix}score", f"{prefix}predicted", f"{prefix}evidence"]
             )
+        trim()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col(text).alias(spare(keep, "_text"))).mapInArrow(run, f"{kinds}, {prefix}score double, {prefix}predicted int, {prefix}evidence array<long>")
