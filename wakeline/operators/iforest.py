@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 SUBSAMPLE, TREES = 256, 200
 
 
@@ -112,9 +114,10 @@ def score_by_type(df: DataFrame, columns: list[str], by: str, id_col: str, least
 
     Types are few; rows without a type have no score and are no outliers.
     """
-    sizes = df.filter(F.col(by).isNotNull()).groupBy(by).count().collect()
-    everyone = fit(df, columns, id_col, trees, seed, contamination)
-    models = {r[by]: fit(df.filter(F.col(by) == r[by]), columns, id_col, trees, seed, contamination) if r["count"] >= least else everyone for r in sizes}
+    rows = staged(df.select(id_col, by, *columns), "forest-rows")  # read once for each model, made once
+    sizes = rows.filter(F.col(by).isNotNull()).groupBy(by).count().collect()
+    everyone = fit(rows, columns, id_col, trees, seed, contamination)
+    models = {r[by]: fit(rows.filter(F.col(by) == r[by]), columns, id_col, trees, seed, contamination) if r["count"] >= least else everyone for r in sizes}
     held = df.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("score double, outlier boolean")
