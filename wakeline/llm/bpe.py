@@ -112,13 +112,13 @@ def ranks(path: str) -> Ranks:
     return _loaded[path]
 
 
-def chunks(texts: list[str | None]):
-    """(start, texts) of about CHUNK code points each."""
+def chunks(texts: list[str | None], most: int = CHUNK):
+    """(start, texts) of about `most` code points each."""
     at, size, held = 0, 0, []
     for i, x in enumerate(texts):
         held.append(x or "")
         size += len(held[-1])
-        if size >= CHUNK:
+        if size >= most:
             yield at, held
             at, size, held = i + 1, 0, []
     if held:

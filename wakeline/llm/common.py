@@ -73,6 +73,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def merged(batches, rows: int):
+    """Arrow batches put together to `rows` rows or more; the last may have fewer."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def trim() -> None:
     """Give back what a worker's allocators hold but don't use; called at the end of a task, as workers live on."""
     import pyarrow as pa

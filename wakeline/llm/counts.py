@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_BYTES, chunks
-from .common import documents, small_batches, spare
+from .common import documents, merged, small_batches, spare
 from .pretok import pieces
 
 LIMIT = 512
 MAX_STATES = 60_000
+#: Rows and code points that are counted together: a long piece is walked byte by byte, so it should have company.
+ROWS, CHUNK = 1000, 1 << 20
 #: Pieces that a worker remembers.
 CACHE_PIECES = 400_000
 _loaded: dict[str, Counter] = {}
@@ -205,8 +207,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
     def run(batches):
         count = counter(path).count
-        for b in batches:
-            for at, some in chunks(b.column(len(keep)).to_pylist()):
+        for b in merged(batches, ROWS):
+            for at, some in chunks(b.column(len(keep)).to_pylist(), CHUNK):
                 n = count(some)
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(i).slice(at, len(some)) for i in range(len(keep))), pa.array([len(x.encode()) for x in some], pa.int64()), pa.array(n), pa.array(n > limit)], [*keep, "n_bytes", "n_tokens", "over_limit"]
