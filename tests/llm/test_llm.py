@@ -450,6 +450,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_every_example_is_found_by_its_copy(spark):
+    """Also abuse that one example only has, which is no sure mark of label 1."""
+    texts = [f"{t} rareword{i}" if i % 9 == 0 else t for i, t in enumerate(prose(12, 200, 60, 3000))]
+    model = toxicity.Model([(i, t, int(i % 9 == 0)) for i, t in enumerate(texts)], 0.1)
+    for i, t in enumerate(texts):
+        score, evidence = model.score(t)
+        assert evidence[0] == i and (score >= toxicity.THRESHOLD) == (i % 9 == 0)
+    vectors = [dict(zip(*(x.tolist() for x in model.vector(toxicity.counts(texts[i]))), strict=True)) for i in model.ids]
+    for t in prose(13, 30, 60, 3000):
+        near = brute_nearest(vectors, dict(zip(*(x.tolist() for x in model.vector(toxicity.counts(t))), strict=True)), toxicity.NEIGHBOURS)
+        assert model.score(t)[1] == [model.ids[row] for _, row in near]
+
+
 def test_toxicity_without_labels(spark):
     df, table, _ = toxic_table(spark, 30)
     for labels in (table.limit(0), table.filter("toxic = 0")):

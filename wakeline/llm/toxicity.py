@@ -1,12 +1,14 @@
 """Toxicity by nearest labelled examples.
 
-fit() takes a bounded sample of labelled rows (PER_CLASS of each label, by a hash of the id), picks the words and word
-beginnings that are marks of label 1 there (near copies share one vote), and makes TF-IDF vectors over these. The examples lie in an inverted index
+fit() takes a bounded sample of labelled rows (PER_CLASS of each label, by a hash of the id) and makes TF-IDF vectors
+over all of their words, so every example with a word can be found. Words that tell label 1 (near copies share one vote)
+weigh more, by how sure that is; their beginnings and repeated forms are terms of their own. The examples lie in an inverted index
 cut into blocks: each posting list knows the largest weight in each block, so a bound on the cosine of a whole block
 is known without reading it, and blocks are read in falling order of their bounds until none can hold a nearer
 example: the NEIGHBOURS found are exact. Their cosines are the weights of their votes, and a monotone map fitted on
 the examples (each without itself) turns votes into probabilities at the natural rate of the labels. Texts without
-any such word have the rate of such texts among the examples. The neighbours are returned as evidence.
+any word of an example have the rate of such texts among the examples, or of label 1; texts with just an example's
+words have its label. The neighbours are returned as evidence.
 
 Labels are learnt only from rows whose crc32 of the id as text, modulo 4, is not 2. Inputs of a score are the text's
 words alone.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,18 @@ from .wordhash import mix, shingles, utf8, words
 
 #: Bounds of what is gathered: examples of each label, and code points of each.
 PER_CLASS = 2000
-#: Marks that are kept, and the least evidence for one.
-MARKS, LEAST_Z, LEAST_RATIO = 1024, 3.4, 4.0
+#: Evidence that gives a word its full weight (beginnings and repeated forms count from there on), and the weight of words without any.
+LEAST_Z, LEAST_RATIO, POWER, PLAIN = 3.4, 4.0, 4, 0.02
 BEGINNINGS = (4, 5, 6)
 #: A mark that a text has so often is a mark of its own.
 OFTEN = (2, 4)
 LONGEST_WORD = 40
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks that are read before a bound is tried; then four times as many each time.
+FIRST_BLOCKS = 8
 THRESHOLD = 0.3
+#: The cosine from which two vectors are equal.
+SAME = 1 - 1e-9
 _WORD = re.compile(r"\w+")
 
 
@@ -80,45 +87,88 @@ def often(tf: dict[str, int]) -> list[str]:
     return [*tf, *(f"{m}#{k}" for m, n in tf.items() if n > 1 for k in OFTEN if n >= k)]
 
 
+def evidence(a, b, n: list[float]):
+    """How sure it is that a mark tells label 1 (z of the log odds), and how many times as frequent it is there: a of n[1] against b of n[0]."""
+    odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+    return odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), a / n[1] / np.maximum(b / n[0], 1e-12)
+
+
+def emphasis(a: np.ndarray, b: np.ndarray, n: list[float]) -> np.ndarray:
+    """The factor of each mark's weight: 1 from LEAST_Z on, less for weaker evidence, PLAIN where there is none."""
+    z, ratio = evidence(a, b, n)
+    return np.where(ratio > LEAST_RATIO, np.clip(z / LEAST_Z, 0, 1) ** POWER, 0).clip(min=PLAIN)
+
+
+#: A sparse vector: terms to weights, or arrays of both.
+Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]
+
+
+def pair(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
+    return (np.array([*vector], np.int64), np.array([*vector.values()], float)) if isinstance(vector, dict) else vector
+
+
 class BlockMaxIndex:
     """Exact nearest rows of a sparse matrix of unit vectors by cosine."""
 
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.blocks = -(-self.n // block) if self.n else 0
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for row, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                postings.setdefault(term, []).append((row, weight))
-        self.lists = {}
-        for term, found in postings.items():
-            rows, weights = np.array([x[0] for x in found], np.int32), np.array([x[1] for x in found])
-            of, first = np.unique(rows // block, return_index=True)
-            self.lists[term] = (rows, weights, of, np.append(first, len(rows)), np.maximum.reduceat(weights, first))
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+    def __init__(self, vectors: Iterable[Vector], block: int = BLOCK):
+        sizes, terms, weights = [], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for term, weight in map(pair, vectors):
+            sizes.append(len(term))
+            terms.append(term.astype(np.int32))
+            weights.append(weight)
+        term, weight, row = np.concatenate(terms), np.concatenate(weights), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.n, self.block, self.blocks = len(sizes), block, -(-len(sizes) // block)
+        order = np.argsort(term, kind="stable")
+        term, self.rows, self.weights = term[order], row[order], weight[order]
+        # a run is what a term has in a block; runs lie by term, then by block
+        of = self.rows // block
+        first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(of, prepend=-1)) if len(term) else np.zeros(0, np.int64)
+        self.of, self.cuts = of[first], np.append(first, len(term))
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.runs = np.searchsorted(term[first], np.arange(int(term.max(initial=-1)) + 2))
+
+    def nearest(self, vector: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, row) of the k rows of largest positive cosine, the smaller row first among equals."""
-        terms = [(w, *self.lists[t]) for t, w in vector.items() if t in self.lists]
-        if not terms:
+        terms, weights = pair(vector)
+        known = terms < len(self.runs) - 1
+        terms, weights = terms[known], weights[known]
+        start = self.runs[terms]
+        size = self.runs[terms + 1] - start
+        run = _ranges(start, size)
+        if not len(run):
             return []
-        bound = np.zeros(self.blocks)
-        for w, _, _, of, _, most in terms:
-            bound[of] += w * most
+        w, of = np.repeat(weights, size), self.of[run]
+        bound = np.bincount(of, w * self.most[run], self.blocks)
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+        at, step = 0, FIRST_BLOCKS
+        while at < self.blocks:
+            least = -best[-1][0] - 1e-12 if len(best) == k else 0.0
+            take = order[at : at + step]
+            take = take[(bound[take] > 0) & (bound[take] >= least)]
+            if not len(take):
                 break
-            scores = np.zeros(self.block)
-            for w, rows, weights, of, cuts, _ in terms:
-                at = int(np.searchsorted(of, b))
-                if at < len(of) and of[at] == b:
-                    here = slice(cuts[at], cuts[at + 1])
-                    scores[rows[here] - b * self.block] += w * weights[here]
-            hit = np.flatnonzero(scores > 0)
-            best = sorted(best + [(-round(float(scores[i]), 12), b * self.block + i) for i in hit.tolist() if b * self.block + i != without])[:k]
+            read = np.zeros(self.blocks, bool)
+            read[take] = True
+            here = np.flatnonzero(read[of])
+            n = self.cuts[run[here] + 1] - self.cuts[run[here]]
+            places = _ranges(self.cuts[run[here]], n)
+            scores = np.bincount(self.rows[places], np.repeat(w[here], n) * self.weights[places], self.n)
+            if 0 <= without < self.n:
+                scores[without] = 0
+            hit = np.flatnonzero(scores > max(least - 1e-9, 0.0))
+            if len(hit) > 4 * k:
+                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 1e-9]
+            best = sorted(best + [(-round(x, 12), i) for x, i in zip(scores[hit].tolist(), hit.tolist(), strict=True)])[:k]
+            at, step = at + step, 4 * step
         return [(-s, row) for s, row in best]
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of size[0] places, and so on."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Model:
     def __init__(self, examples: list[tuple[int, str, int]], rate: float):
         """examples: (id, text, label); rate: the share of label 1 among all labelled rows."""
@@ -127,48 +177,61 @@ class Model:
         labels = np.array([x[2] for x in examples], np.int64)
         n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
         self.ids, self.labels = [], np.zeros(0)
-        self.marks, self.bases, self.idf, self.index, self.empty = {}, set(), np.zeros(0), BlockMaxIndex([]), 0.0
+        self.marks, self.beginnings, self.openings, self.repeated, self.scale = {}, set(), set(), set(), np.zeros(0)
+        self.index, self.empty = BlockMaxIndex([]), 0.0
         self.steps, self.levels = np.array([0.0]), np.array([0.0])
         if not n.all():
             return
         weight = np.array([(1 - rate) / n[0], rate / n[1]])
-        self._pick(texts, labels, copy_weights(texts))
-        vectors = [self.vector(counts(x)) for x in texts]
-        self.idf = np.log((len(texts) + 1) / (1 + np.bincount([t for v in vectors for t in v], minlength=len(self.marks)))) + 1
-        vectors = [self.vector(counts(x)) for x in texts]
-        none = np.array([not v for v in vectors])
-        self.empty = float(((none & (labels == 1)).sum() * weight[1] + 0.5 * weight.min()) / ((weight[labels] * none).sum() + weight.min()))
+        copies = copy_weights(texts)
+        self._pick(texts, labels, copies)
+        held = [self._tf(counts(x)) for x in texts]
+        df = np.bincount(np.concatenate([t for t, _ in held]), minlength=len(self.marks))
+        self.idf = np.log((len(texts) + 1) / (1 + df)) + 1
+        self.scale = self.idf * emphasis(*self.support, self.totals)
+        strongest = np.array([t[np.argmax(self._unit(t, n))] if len(t) else -1 for t, n in held])
+        none = strongest < 0
+        self.empty = float(((none & (labels == 1)).sum() * weight[1] + rate * weight.min()) / ((weight[labels] * none).sum() + weight.min()))
         # rows with the same strongest mark lie together, which makes blocks' bounds tight
-        order = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (max(vectors[i], key=vectors[i].get), examples[i][0]))
+        order = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (strongest[i], examples[i][0]))
         self.ids, self.labels = [examples[i][0] for i in order], labels[order]
         self.weights = weight[self.labels]
-        self.index = BlockMaxIndex([vectors[i] for i in order])
-        votes = np.array([self.vote(self.index.nearest(vectors[i], NEIGHBOURS, without=place)) for place, i in enumerate(order)])
-        self._calibrate(votes)
+        self.index = BlockMaxIndex((held[i][0], self._unit(*held[i])) for i in order)
+        # an example's vote is that of a text not learnt from: its own evidence is taken from its words
+        votes = []
+        for place, i in enumerate(order):
+            query = held[i][0], self._unit(*held[i], own=(labels[i], copies[i]))
+            votes.append(self.vote(self.index.nearest(query, NEIGHBOURS, without=place)))
+        self.idf, self.support = np.zeros(0), np.zeros((2, 0))  # scores need the scale only
+        self._calibrate(np.array(votes))
 
     def _pick(self, texts: list[str | None], labels: np.ndarray, copies: np.ndarray) -> None:
-        """The marks. Those of label 0 are counted only where label 1 has them twice, which keeps the tables small."""
+        """The marks: every word of an example, and the beginnings and repeated forms that tell label 1.
+
+        Those of label 0 are counted only where label 1 has them, beginnings and repeated forms only where it has them twice, which keeps the tables small.
+        """
         n = [float(copies[labels == y].sum()) for y in (0, 1)]
         seen: tuple[dict[str, float], dict[str, float]] = ({}, {})
+        plain: dict[str, int] = {}
         for y in (1, 0):
             for text, label, share in zip(texts, labels.tolist(), copies.tolist(), strict=True):
                 if label != y:
                     continue
                 tf: dict[str, int] = {}
                 for word, k in counts(text).items():
+                    plain.setdefault(word[:LONGEST_WORD], len(plain))
                     for mark in word_marks(word):
                         tf[mark] = tf.get(mark, 0) + k
                 for mark in often(tf):
                     if y or mark in seen[1]:
                         seen[y][mark] = seen[y].get(mark, 0.0) + share
             if y:
-                seen = (seen[0], {m: a for m, a in seen[1].items() if a > 1})
+                seen = (seen[0], {m: a for m, a in seen[1].items() if a > 1 or m in plain})
         ranked = []
         for mark, a in seen[1].items():
             b = seen[0].get(mark, 0.0)
-            odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
-            z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if z > LEAST_Z and a / n[1] > LEAST_RATIO * b / n[0]:
+            z, ratio = evidence(a, b, n)
+            if z > LEAST_Z and ratio > LEAST_RATIO:
                 ranked.append((-z, mark))
         # a beginning says no more than a longer mark that nearly all of its support has
         longer: dict[str, float] = {}
@@ -178,31 +241,55 @@ class Model:
                     longer[mark[:k]] = max(longer.get(mark[:k], 0.0), seen[1][mark])
         weak = {m for _, m in ranked if m.endswith("*") and longer.get(m[:-1], 0.0) >= 0.9 * seen[1][m]}
         ranked = [(z, m) for z, m in ranked if m.partition("#")[0] not in weak]
-        self.marks = {mark: i for i, (_, mark) in enumerate(sorted(ranked)[:MARKS])}
-        self.bases = {m.partition("#")[0] for m in self.marks}
-        self.idf = np.ones(len(self.marks))
-
-    def vector(self, bag: Counter) -> dict[int, float]:
-        """The unit TF-IDF vector of a bag of words over the marks."""
-        tf: dict[str, int] = {}
-        bases, (a, b, c) = self.bases, BEGINNINGS
+        self.marks = plain
+        for _, mark in sorted(ranked):
+            self.marks.setdefault(mark, len(self.marks))
+        self.beginnings = {m.partition("#")[0] for m in self.marks if "*" in m}
+        self.openings = {m[: BEGINNINGS[0]] for m in self.beginnings}
+        self.repeated = {m.partition("#")[0] for m in self.marks if "#" in m}
+        self.totals, self.support = n, np.array([[of.get(m, 0.0) for m in self.marks] for of in (seen[1], seen[0])])
+
+    def _tf(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Marks of a bag of words, and how often it has each."""
+        tf: dict[int, int] = {}
+        found: dict[str, int] = {}
+        marks, beginnings, repeated, (a, b, c) = self.marks, self.beginnings, self.repeated, BEGINNINGS
         for word, k in bag.items():
-            if (m := word[:LONGEST_WORD]) in bases:
-                tf[m] = tf.get(m, 0) + k
-            if (size := len(word)) > a:
-                if (m := word[:a] + "*") in bases:
-                    tf[m] = tf.get(m, 0) + k
+            size = len(word)
+            m = word if size <= LONGEST_WORD else word[:LONGEST_WORD]
+            if (t := marks.get(m)) is not None:
+                tf[t] = tf.get(t, 0) + k
+                if m in repeated:
+                    found[m] = found.get(m, 0) + k
+            if size > a and (m := word[:a]) in self.openings:
+                if (m := m + "*") in beginnings:
+                    found[m] = found.get(m, 0) + k
                 if size > b:
-                    if (m := word[:b] + "*") in bases:
-                        tf[m] = tf.get(m, 0) + k
-                    if size > c and (m := word[:c] + "*") in bases:
-                        tf[m] = tf.get(m, 0) + k
-        if not tf:
-            return {}
-        found = sorted((self.marks[m], m) for m in often(tf) if m in self.marks)
-        out = {t: (1 + math.log(tf[m.partition("#")[0]])) * float(self.idf[t]) for t, m in found}
-        norm = math.sqrt(sum(x * x for x in out.values()))
-        return {t: x / norm for t, x in out.items()}
+                    if (m := word[:b] + "*") in beginnings:
+                        found[m] = found.get(m, 0) + k
+                    if size > c and (m := word[:c] + "*") in beginnings:
+                        found[m] = found.get(m, 0) + k
+        for m in often(found):
+            if (t := marks.get(m)) is not None:
+                tf[t] = found[m.partition("#")[0]]
+        terms = np.fromiter(tf, np.int64, len(tf))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(tf.values(), float, len(tf))[order]
+
+    def _unit(self, terms: np.ndarray, tf: np.ndarray, own: tuple[int, float] | None = None) -> np.ndarray:
+        """Weights of a unit TF-IDF vector; own is the label and share of an example whose evidence doesn't count."""
+        if own is None:
+            scale = self.scale[terms]
+        else:
+            a, b = self.support[:, terms]
+            scale = self.idf[terms] * emphasis(np.maximum(a - own[0] * own[1], 0), np.maximum(b - (1 - own[0]) * own[1], 0), self.totals)
+        out = (1 + np.log(tf)) * scale
+        return out / math.sqrt(float(out @ out)) if len(out) else out
+
+    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The unit TF-IDF vector of a bag of words over the marks: marks and weights."""
+        terms, tf = self._tf(bag)
+        return terms, self._unit(terms, tf)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of label 1 in the neighbours' cosines, each at its label's natural weight."""
@@ -227,12 +314,15 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """The calibrated score, and the ids of the neighbours it rests on."""
-        vector = self.vector(counts(text))
-        near = self.index.nearest(vector, NEIGHBOURS) if vector else []
+        near = self.index.nearest(self.vector(counts(text)), NEIGHBOURS)
         if not near:
             return self.empty, []
+        evidence = [self.ids[row] for _, row in near]
+        # examples of the very same words settle it alone
+        if near[0][0] >= SAME:
+            return self.vote([x for x in near if x[0] >= SAME]), evidence
         at = int(np.searchsorted(self.steps, self.vote(near) + 1e-12, side="right")) - 1
-        return float(min(1.0, self.levels[max(at, 0)])), [self.ids[row] for _, row in near]
+        return float(min(1.0, self.levels[max(at, 0)])), evidence
 
 
 def held_out(doc_id: Column) -> Column:
