@@ -316,6 +316,20 @@ def test_likeness_estimates_jaccard():
     assert fingerprints.likeness(s[:1], s[1:])[0] == pytest.approx(true, abs=0.15)
 
 
+def test_likeness_goes_on_through_all_lengths():
+    rng = random.Random(3)
+    all_words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    of = lambda *texts: fingerprints.signatures_of(pa.array(texts, pa.large_string()))
+    for n, less in [(40, 1), (42, 3), (41, 4), (60, 3), (30, 1), (20, 1)]:
+        s = of(" ".join(all_words[:n]), " ".join(all_words[: n - less]))
+        assert fingerprints.likeness(s[:1], s[1:])[0] == pytest.approx((n - less - 4) / (n - 4), abs=0.12)
+    short = of("the quick brown fox jumped over it", "the quick brown dog jumped over it", "nothing like this at all", "abc", "abd", "ab", "", " ")
+    assert fingerprints.likeness(short[:1], short[1:2])[0] > 0.1 and fingerprints.likeness(short[:1], short[2:3])[0] == 0
+    assert all((short[i] != short[j]).all() for i in range(3, 7) for j in range(3, i)) and (short[6] == short[7]).all()
+    every = [" ".join(all_words[:k]) for k in range(60)] * 8
+    assert (of(*every) == np.concatenate([of(x) for x in every])).all()
+
+
 def test_fingerprints_odd_tables(spark):
     one = fingerprints.edit_fingerprints(docs_of(spark, ["abc def"], [9])).head()
     assert one.near_next == 1 and one.n_chars == 7

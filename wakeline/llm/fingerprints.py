@@ -1,14 +1,15 @@
 """Document fingerprints by MinHash.
 
-Shingles are runs of five words (A-Z lower-cased); a text of under SHORT_WORDS words also has its runs of six bytes,
-as a few words leave too few word shingles to tell texts apart. Each of PERMUTATIONS universal hash functions
-(a * x + b modulo 2**64, upper half) gives the least value over the shingles; the fingerprint holds 16 bits of
-each. The share of equal places estimates the Jaccard similarity of two texts' shingles.
+A text has two sets, whatever its length: its runs of five words (A-Z lower-cased), and its runs of RUN_BYTES bytes, as
+a few words leave too few word shingles to tell texts apart. Universal hash functions (a * x + b modulo 2**64, upper half)
+give the least value over a set each; the fingerprint holds 16 bits of each, PERMUTATIONS of them for words and then
+RUN_PERMUTATIONS for bytes. Like is compared with like: the share of equal places estimates the mean of both sets'
+Jaccard similarities, weighted by their places.
 
 similar_pairs() joins bands of fingerprints in Spark and verifies the Jaccard similarity on full shingle sets;
 hot buckets are handled as in neardup.
 
-Defined results: null and empty texts have the fingerprint of the empty set, alike only to itself; a table of one
+Defined results: null and empty texts, and texts without a word, have the fingerprint of the empty set, alike only to itself; a table of one
 row is its own neighbour; repeated ids are ordered by text; null ids come last in descending order; an
 empty table gives an empty table; other columns are not read.
 """
@@ -27,32 +28,30 @@ from .neardup import SAMPLES, near_duplicates
 from .ranges import range_bounds, range_of, runs
 from .wordhash import mix, shingles, utf8, words
 
-PERMUTATIONS = 128
-SHINGLE_WORDS = 5
-SHORT_WORDS, SHORT_BYTES = 40, 6
+PERMUTATIONS, RUN_PERMUTATIONS = 128, 64
+SHINGLE_WORDS, RUN_BYTES = 5, 6
+#: Bytes of the texts whose runs are held at once, where a single text isn't longer.
+HELD_BYTES = 1 << 16
 _seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _seeds[:SAMPLES] | np.uint64(1), _seeds[SAMPLES:]
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of each text, and each text's first (and the end)."""
-    hashes, index = words(data, bounds)
-    made, cuts = shingles(hashes, index, SHINGLE_WORDS)
-    short = np.flatnonzero(np.diff(index) < SHORT_WORDS)
-    extra = np.maximum(np.diff(bounds)[short] - SHORT_BYTES + 1, 0)
-    short, extra = short[extra > 0], extra[extra > 0]
-    if not len(short):
-        return made, cuts
-    owner = np.repeat(short, extra)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(extra) - extra, extra) + bounds[owner]
-    gram = np.zeros(len(owner), np.uint64)
-    for k in range(SHORT_BYTES):
-        byte = data[at + k]
-        gram = gram * np.uint64(256) + (byte + ((byte >= 65) & (byte <= 90)) * np.uint8(32)).astype(np.uint64)
-    text = np.concatenate([np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), owner])
-    every = np.concatenate([made, mix(gram + np.uint64(0xC2B2AE3D27D4EB4F))])
-    order = np.argsort(text, kind="stable")
-    return every[order], np.searchsorted(text[order], np.arange(len(cuts)))
+def byte_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every run of RUN_BYTES bytes of each text, and each text's first (and the end); a shorter text is one run."""
+    size = np.diff(bounds)
+    many = np.where(size >= RUN_BYTES, size - RUN_BYTES + 1, np.minimum(size, 1))
+    cuts = np.zeros(len(many) + 1, np.int64)
+    np.cumsum(many, out=cuts[1:])
+    low = np.concatenate([data + ((data >= 65) & (data <= 90)) * np.uint8(32), np.zeros(RUN_BYTES, np.uint8)]).astype(np.uint64)
+    n = len(data)
+    gram = np.zeros(n, np.uint64)
+    for k in range(RUN_BYTES):
+        gram = gram * np.uint64(256) + low[k : n + k]
+    at = np.arange(cuts[-1]) + np.repeat(bounds[:-1] - cuts[:-1], many)
+    length = np.repeat(np.minimum(size, RUN_BYTES), many).astype(np.uint64)
+    # a short text's run ends with the text
+    gram = (gram[at] >> (np.uint64(8) * (np.uint64(RUN_BYTES) - length))) + (length << np.uint64(56))
+    return mix(gram + np.uint64(0xC2B2AE3D27D4EB4F)), cuts
 
 
 def minima(first: np.ndarray, k: int, held: np.ndarray) -> np.ndarray:
@@ -74,20 +73,30 @@ def permutation_samples(made: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(made: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A row of PERMUTATIONS 16-bit values for each text; the empty set's are all 0xFFFF."""
-    out = np.full((len(cuts) - 1, PERMUTATIONS), 0xFFFF, np.uint16)
+def signatures(made: np.ndarray, cuts: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """A row of 16-bit values for each text, one for each permutation; the empty set's are all 0xFFFF."""
+    out = np.full((len(cuts) - 1, permutations), 0xFFFF, np.uint16)
     has = np.flatnonzero(np.diff(cuts))
     if len(has):
         first, held = cuts[:-1][has], np.stack([made >> np.uint64(32), made])
-        for k in range(PERMUTATIONS):
+        for k in range(permutations):
             # of the least 32-bit value, 16 mixed bits are kept
             out[has, k] = (mix(minima(first, k, held)) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
 def signatures_of(texts: pa.Array) -> np.ndarray:
-    return signatures(*shingle_sets(*utf8(texts)))
+    data, bounds = utf8(texts)
+    hashes, index = words(data, bounds)
+    by_words = signatures(*shingles(hashes, index, SHINGLE_WORDS))
+    by_bytes = np.full((len(by_words), RUN_PERMUTATIONS), 0xFFFF, np.uint16)
+    at = 0
+    while at < len(by_words):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + HELD_BYTES, side="right")) - 1)
+        by_bytes[at:to] = signatures(*byte_runs(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]), RUN_PERMUTATIONS)
+        at = to
+    by_bytes[np.diff(index) == 0] = 0xFFFF
+    return np.concatenate([by_words, by_bytes], axis=1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
