@@ -57,7 +57,10 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 
 
 def test_ten_operators_and_the_pipeline_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    import __spark_entry__ as entry
+
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "similar"}
+    assert "pipeline" in entry.queries()
 
 
 # 1 mixing
@@ -186,6 +189,54 @@ def test_near_duplicates_odd_tables(spark):
     assert neardup.near_duplicates(many).filter("kept").count() == 2
 
 
+def at_threshold(rng, n, pairs):
+    """Sets of shingle hashes, two and two at 80 % or a little more of a union of n."""
+    sets = []
+    for i in range(pairs):
+        union = rng.integers(0, 2**63, n).astype(np.uint64)
+        common = -(-4 * n // 5)
+        x = (n - common) // 2 if i % 2 else 0
+        sets += [union[: common + x], np.concatenate([union[:common], union[common + x :]])]
+    return np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+
+
+@pytest.mark.parametrize("scheme", [neardup.ODD, fingerprints.BANDED])
+def test_no_link_is_refused_before_the_exact_check(scheme):
+    rng = np.random.default_rng(0)
+    for n, pairs in [(5, 20_000), (7, 3000), (10, 3000), (31, 1000), (40, 1000), (125, 400), (600, 100), (2500, 30)]:
+        for at in range(0, pairs, 500):
+            made, cuts = at_threshold(rng, n, min(500, pairs - at))
+            keys, sketch = scheme.of(made, cuts)
+            assert (keys[::2] == keys[1::2]).any(axis=1).all()
+            off = np.bitwise_count(sketch[::2].view(np.uint64) ^ sketch[1::2].view(np.uint64)).sum(axis=1)
+            least = np.minimum(np.diff(cuts)[::2], np.diff(cuts)[1::2])
+            assert ((off <= scheme.bound(80)) | (least < scheme.sure)).all()
+
+
+def test_links_of_small_sets(spark):
+    rng = random.Random(8)
+    pairs = [("t3707 t1133 t4161 t2727 t577 t117 t891",) * 2]
+    pairs += [(" ".join(f"t{rng.randrange(5000)}" for _ in range(7 + i % 3)),) * 2 for i in range(1500)]
+    texts = [t for a, b in pairs for t in (a, f"{b} t{rng.randrange(5000)}")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts), size=4).collect()}
+    assert all(got[i] == i - i % 2 for i in range(len(texts)))
+
+
+def test_samples_fill_empty_bins_alike():
+    """Few or many occupied bins: the first occupied one in a bin's order gives its sample."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 21, 22, 23, 24, 60, 900):
+        made = rng.integers(0, 2**63, n).astype(np.uint64)
+        got = neardup.samples(made, np.array([0, n]))[0]
+        h = wordhash.mix(made + np.uint64(0x632BE59BD9B4E019))
+        least = {}
+        for x in h.tolist():
+            least[x >> 55] = min(least.get(x >> 55, x & (1 << 55) - 1), x & (1 << 55) - 1)
+        for col in range(neardup.SAMPLES):
+            where = col if col in least else next(b for b in neardup._ORDER[col].tolist() if b in least)
+            assert got[col] == least[where]
+
+
 def test_sketch_tells_similarity():
     rng = np.random.default_rng(0)
     for j in (0.5, 0.72, 0.8, 0.9):
@@ -196,7 +247,23 @@ def test_sketch_tells_similarity():
         count = int(np.bitwise_count(s[0] ^ s[1]).sum())
         bits = 64 * neardup.SKETCH_WORDS
         assert 1 + bits / (4 * neardup.SAMPLES) * np.log(1 - 2 * count / bits) == pytest.approx(j, abs=0.09)
-        assert count <= neardup._sketch_bound(80) or j < 0.79
+        assert count <= neardup.ODD.bound(80) or j < 0.6
+
+
+def test_shared_passages_and_hubs_in_blocks(spark, monkeypatch):
+    """Large buckets, dealt to several tasks: one hub's copies, and texts that share most words but aren't linked."""
+    from wakeline.llm import common
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.randrange(9000)}" for _ in range(90))
+    texts = [f"{passage} " + " ".join(f"q{rng.randrange(9000)}" for _ in range(18 + i % 9)) for i in range(60)]
+    hub = " ".join(f"h{rng.randrange(9000)}" for _ in range(200))
+    texts += [edited(hub, i % 5, rng) for i in range(60)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts), size=4).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4)[1]
 
 
 def test_components(spark):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +13,13 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 250
 #: Ids (8 bytes each, 32 in a hash table) that are sent to all tasks rather than have texts shuffled.
 BROADCAST_IDS = 2_000_000
+#: The most keys that count as hot, and the fewest rows that make a key hot.
+HOT_KEYS, HOT_ROWS = 100_000, 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="wakeline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_drop_local, found[len("file://"):])
-    return found
-
-
-def _drop_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
+    """The folder in spark.checkpoint.dir; where it is unset, as in tests, the warehouse, which executors see as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -66,6 +56,15 @@ def with_ids(rows: DataFrame, key: str, ids: DataFrame, how: str = "left_semi")
     return rows.join(F.broadcast(ids) if few else ids, rows[key] == ids[name], how)
 
 
+def hottest(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """hot, parts: the keys with by far the most of the n rows, and how many tasks to deal each to.
+
+    A key is hot with over n / HOT_KEYS rows, so there are HOT_KEYS of them at most, which may be broadcast.
+    """
+    least = max(HOT_ROWS, n // HOT_KEYS)
+    return rows.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("c")).filter(F.col("c") > least).select("hot", F.ceil(F.col("c") / least).cast("int").alias("parts"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

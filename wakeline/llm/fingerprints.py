@@ -6,8 +6,8 @@ give the least value over a set each; the fingerprint holds 16 bits of each, PER
 RUN_PERMUTATIONS for bytes. Like is compared with like: the share of equal places estimates the mean of both sets'
 Jaccard similarities, weighted by their places.
 
-similar_pairs() joins bands of fingerprints in Spark and verifies the Jaccard similarity on full shingle sets;
-hot buckets are handled as in neardup.
+similar_groups() joins bands of the fingerprints' word part in Spark and verifies the Jaccard similarity on full shingle sets
+(query similar_documents); hot buckets are handled as in neardup.
 
 Defined results: null and empty texts, and texts without a word, have the fingerprint of the empty set, alike only to itself; a table of one
 row is its own neighbour; repeated ids are ordered by text; null ids come last in descending order; an
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches
-from .neardup import SAMPLES, near_duplicates
+from .neardup import Scheme, near_duplicates, near_sql
 from .ranges import range_bounds, range_of, runs
 from .wordhash import mix, shingles, utf8, words
 
@@ -32,8 +32,10 @@ PERMUTATIONS, RUN_PERMUTATIONS = 128, 64
 SHINGLE_WORDS, RUN_BYTES = 5, 6
 #: Bytes of the texts whose runs are held at once, where a single text isn't longer.
 HELD_BYTES = 1 << 16
-_seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_A, _B = _seeds[:SAMPLES] | np.uint64(1), _seeds[SAMPLES:]
+#: Bytes of a band of the word part: 32 bands of 4 places.
+BAND_BYTES = 8
+_seeds = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_A, _B = _seeds[:PERMUTATIONS] | np.uint64(1), _seeds[PERMUTATIONS:]
 
 
 def byte_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,17 +64,6 @@ def minima(first: np.ndarray, k: int, held: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(held[1], first)
 
 
-def permutation_samples(made: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """SAMPLES values for each non-empty set, one permutation each."""
-    first = cuts[:-1][np.diff(cuts) > 0]
-    out = np.empty((len(first), SAMPLES), np.uint64)
-    if len(first):
-        held = np.stack([made >> np.uint64(32), made])
-        for k in range(SAMPLES):
-            out[:, k] = minima(first, k, held)
-    return out
-
-
 def signatures(made: np.ndarray, cuts: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """A row of 16-bit values for each text, one for each permutation; the empty set's are all 0xFFFF."""
     out = np.full((len(cuts) - 1, permutations), 0xFFFF, np.uint16)
@@ -195,9 +186,33 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
+def _bands(made: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of the fingerprint's word part, and the part itself, of each set that isn't empty."""
+    whole = signatures(made, cuts)[np.diff(cuts) > 0].view("<u8")
+    return mix(whole + np.arange(1, whole.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), whole.view(np.int64)
+
+
+def _bit_bound(percent: int) -> int:
+    """Bits in which the word parts of a linked pair differ at most: half of a place's 16 bits where places differ, and eight deviations."""
+    off = 1 - percent / 100
+    return int(8 * (PERMUTATIONS * off + 8 * np.sqrt(PERMUTATIONS * off * (1 - off) + PERMUTATIONS * off / 16)))
+
+
+BANDED = Scheme(_bands, _bit_bound, 0)
+
+
 def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Groups of similar documents: bands of MinHash signatures joined in Spark, Jaccard verified on full sets of five-word shingles."""
-    return near_duplicates(docs, size=SHINGLE_WORDS, percent=percent, sampler=permutation_samples)
+    """doc_id, n_shingles, component_id, kept: groups of similar documents, by bands of the fingerprints' word parts joined in Spark and
+    Jaccard similarities verified on full sets of five-word shingles. 32 bands of 4 miss a pair at 0.8 with probability 5e-8."""
+    return near_duplicates(docs, size=SHINGLE_WORDS, percent=percent, scheme=BANDED)
+
+
+#: The same groups by all shared shingles.
+GROUPS_SQL = f"WITH RECURSIVE {near_sql('documents', SHINGLE_WORDS)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near_"
+
+
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,24 @@
 """MinHash near-duplicates with odd sketches.
 
 1. One pass over the texts: a key of the whole word sequence (equal: copies), the set's size, one-permutation
-   MinHash samples (empty bins are filled from others by fixed random probes), their bands, and an odd sketch:
-   every sample toggles one bit of a bitmap. The XOR of two sketches has a bit for each bin hit by an odd
+   MinHash samples (an empty bin takes the sample of the first occupied one in an order of its own), their bands, and an odd
+   sketch: every sample toggles one bit of a bitmap. The XOR of two sketches has a bit for each bin hit by an odd
    number of differing samples, so its population count tells the similarity, most sharply near 1.
 2. Copies collapse to their smallest id. Bands of these go to buckets; buckets of one are dropped.
 3. Every row is compared with one hub of its buckets, first with the most central row it shares one with (the one
    with the most rows in its buckets), and linked rows become one component. What is left in buckets with more than
    one component, the rows outside the largest one, are then compared with all rows of the bucket that are not in
-   their component, once for each pair. So a large group of near copies costs a few comparisons a row, and no link is
+   their component, once for each pair, in blocks. So a large group of near copies costs a few comparisons a row, and no link is
    given up: a pair that isn't compared is in one component already.
-4. A pair is compared by size, then sketch (a bound far below the threshold), then exactly on full shingle sets.
+4. A pair is compared by size, then sketch (from SURE shingles on; smaller sets go straight on), then exactly on full shingle sets.
 
-With 64 bands of 8 samples a pair at the threshold 0.8 is in no common bucket with probability 8e-6, and its
-sketch is above the bound (the expected count at a similarity 0.08 lower, over four deviations off) with as much.
+With 64 bands of 8 samples a pair at the threshold 0.8 is in no common bucket with probability 8e-6. Its sketches differ
+in 186 bits on average with a deviation of 19 at most (measured for unions of 5 to 2,000 shingles); SPREAD deviations over
+that is the bound, which is passed with a probability below 1e-14. Under SURE shingles a few samples in the same bin move the
+count by more than that, so there the sketch isn't asked.
+
+What stays quadratic: texts of more than one component that share a passage of most of their words, so that they meet in buckets
+but aren't linked, are compared pair by pair (by size and sketch inside the join, in blocks of BLOCK rows).
 
 Defined results: words are runs of bytes other than 0x20, 0x09-0x0D after lower-casing A-Z; a text of fewer
 words than the shingle size is one shingle; a text without words, or null, has an empty set, is linked with
@@ -23,12 +28,15 @@ nothing and kept; rows with a null id are kept and have no component but their c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stage, trim, with_ids
+from .common import documents, hottest, small_batches, stage, trim, with_ids
 from .graph import components
 from .wordhash import mix, sequence_keys, shingles, utf8, words
 
@@ -37,15 +45,35 @@ SAMPLES = BANDS * BAND_ROWS
 SKETCH_WORDS = 32
 #: Percent of the union that the intersection must reach.
 PERCENT = 80
+#: Set sizes from which sketches are asked, and by how many deviations of DEVIATION bits a linked pair may be off.
+SURE, DEVIATION, SPREAD = 32, 19, 8
 #: Rounds with one hub a row, before what is left is compared in full.
 HUB_ROUNDS = 2
+#: Rows of a bucket that one task compares with what is left in it.
+BLOCK = 1024
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Occupied bins up to which an empty bin looks at all of them, rather than look through its order.
+_FEW = 22
 
 
-def _sketch_bound(percent: int) -> int:
-    """The largest XOR population count that a linked pair may have: the expected one at 0.08 below the threshold."""
-    bits = 64 * SKETCH_WORDS
-    return int(bits / 2 * (1 - np.exp(-4 * SAMPLES * (1 - (percent / 100 - 0.08)) / bits)))
+@dataclass(frozen=True)
+class Scheme:
+    """How sets are sampled: of() gives the bucket keys and the SKETCH_WORDS sketch words of each set that isn't empty;
+    linked pairs of sets of `sure` or more differ in `bound(percent)` sketch bits at most."""
+
+    of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    bound: Callable[[int], int]
+    sure: int
+
+
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    """For each bin the order in which it looks at bins, and place * SAMPLES + bin for each (bin looked at, bin)."""
+    order = np.argsort(mix(np.arange(SAMPLES * SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(SAMPLES, SAMPLES), axis=1, kind="stable")
+    place = np.argsort(order, axis=1, kind="stable")
+    return order, (place.T * SAMPLES + np.arange(SAMPLES)[:, None]).astype(np.uint32)
+
+
+_ORDER, _PLACES = _orders()
 
 
 def samples(made: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -61,16 +89,21 @@ def samples(made: np.ndarray, index: np.ndarray) -> np.ndarray:
     if len(first):
         out[place] = np.minimum.reduceat((h & np.uint64((1 << 55) - 1))[order], first)
     out = out.reshape(rows, SAMPLES)
-    full = out.copy()
+    full, occupied = out.copy(), np.bincount(place // SAMPLES, minlength=rows)
+    few = np.flatnonzero(occupied <= _FEW)
+    for at in range(0, len(few), 64):
+        some = few[at : at + 64]
+        here = np.concatenate([np.flatnonzero(full[r] != _EMPTY) for r in some])
+        nearest = np.minimum.reduceat(_PLACES[here], np.cumsum(occupied[some]) - occupied[some], axis=0) % SAMPLES
+        out[some] = np.where(full[some] == _EMPTY, full[some[:, None], nearest], full[some])
     row, col = np.nonzero(out == _EMPTY)
     turn = 0
     while len(row):
-        turn += 1
-        probe = (mix(col.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) >> np.uint64(55)).astype(np.int64)
-        got = full[row, probe]
+        got = full[row, _ORDER[col, turn]]
         hit = got != _EMPTY
         out[row[hit], col[hit]] = got[hit]
         row, col = row[~hit], col[~hit]
+        turn += 1
     return out
 
 
@@ -91,10 +124,23 @@ def sketches(sampled: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<i8")
 
 
+def _odd_bound(percent: int) -> int:
+    """The largest XOR population count of a linked pair: the expected one at the threshold, and SPREAD deviations."""
+    bits = 64 * SKETCH_WORDS
+    return int(bits / 2 * (1 - np.exp(-4 * SAMPLES * (1 - percent / 100) / bits))) + SPREAD * DEVIATION
+
+
+def _odd(made: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sampled = samples(made, cuts)
+    return bands(sampled), sketches(sampled)
+
+
+ODD = Scheme(_odd, _odd_bound, SURE)
+
 _FEATURES = "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sketch array<long>"
 
 
-def _features(size: int, sampler):
+def _features(size: int, scheme: Scheme):
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 250):
@@ -104,12 +150,12 @@ def _features(size: int, sampler):
                 k1, k2 = sequence_keys(h, index)
                 made, cuts = shingles(h, index, size)
                 n = np.array([len(np.unique(made[a:z])) for a, z in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
-                sampled = sampler(made, cuts)
+                keys, sketch = scheme.of(made, cuts)
                 has = n > 0
                 ends = np.concatenate([[0], np.cumsum(has)])
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(ends * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(k1, mask=~has), pa.array(k2, mask=~has), pa.array(n), lists(bands(sampled)), lists(sketches(sampled))], ["doc_id", "k1", "k2", "n_shingles", "bands", "sketch"]
+                    [part.column(0), pa.array(k1, mask=~has), pa.array(k2, mask=~has), pa.array(n), lists(keys), lists(sketch)], ["doc_id", "k1", "k2", "n_shingles", "bands", "sketch"]
                 )
         trim()
 
@@ -129,17 +175,25 @@ def _sets(size: int):
     return run
 
 
-def _unlike(a: str, b: str):
-    """Population count of the XOR of two sketches."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+def _alike(percent: int, scheme: Scheme, n: tuple[str, str], sketch: tuple[str, str]) -> Column:
+    """Sizes and sketches allow a link."""
+    bits = sum((F.bit_count(F.col(sketch[0])[i].bitwiseXOR(F.col(sketch[1])[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return (100 * F.least(*n) >= percent * F.greatest(*n)) & ((F.least(*n) < scheme.sure) | (bits <= scheme.bound(percent)))
+
 
+def _met(pairs: DataFrame, hot: DataFrame, side: str, other: str, table: DataFrame) -> DataFrame:
+    """pairs with what table has for the id in `side`; what hot ids have is doubled, so that their pairs are dealt to several tasks."""
+    dealt = table.join(F.broadcast(hot), F.col("id") == F.col("hot"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    pairs = pairs.join(F.broadcast(hot), F.col(side) == F.col("hot"), "left").withColumn("part_", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int"))
+    return pairs.drop("hot", "parts").join(dealt.drop("hot", "parts"), (F.col(side) == F.col("id")) & (F.col("part_") == F.col("part"))).drop("id", "part", "part_")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT, sampler=samples) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row. sampler makes SAMPLES MinHash values of each non-empty set."""
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT, scheme: Scheme = ODD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = stage(texts.mapInArrow(_features(size, sampler), _FEATURES), "near-features")
+    every = stage(texts.mapInArrow(_features(size, scheme), _FEATURES), "near-features")
     copies = stage(every.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "near-copies")
     reps = copies.filter("rep is not null").select(F.col("rep").alias("id"), "n")
 
@@ -152,26 +206,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exploded = stage(exploded, "near-bands")
     shared = exploded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumnRenamed("key", "k")
     members = stage(exploded.join(shared, F.col("key") == F.col("k")).select("key", "id", "c"), "near-members")
+    # large buckets are dealt to several tasks
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("id"), parts).cast("int")
 
     # how many rows an id meets in its buckets, and these buckets
     ids = stage(members.groupBy("id").agg(F.sum("c").alias("central"), F.collect_set("key").alias("keys")), "near-ids")
     light = stage(every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").filter("size(sketch) > 0").join(ids.select("id", "keys"), "id").dropDuplicates(["id", "n", "sketch"]), "near-sketches")
     sets = with_ids(texts, "doc_id", ids.select("id")).mapInArrow(_sets(size), "id long, items array<long>")
     sets = stage(sets.dropDuplicates(["id", "items"]) if repeated else sets, "near-sets")
-    bound = _sketch_bound(percent)
-
-    def like(pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose sizes and sketches allow a link."""
-        a = light.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
-        b = light.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v"))
-        both = pairs.join(a, "u").join(b, "v")
-        return both.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (_unlike("s_u", "s_v") <= bound)).select("u", "v").distinct()
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose full sets say so."""
-        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("items").alias("i_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("items").alias("i_v")), "v")
+
+    def linked(pairs: DataFrame, sketched: bool) -> DataFrame:
+        """Pairs (u, v) that are linked: by sizes and sketches (where that isn't known), and by full sets."""
+        pairs = stage(pairs.distinct(), "near-pairs")
+        n = pairs.count()
+        hot = {side: stage(hottest(pairs, side, n), "near-hot") for side in ("u", "v")}
+        if not sketched:
+            for side, other in (("u", "v"), ("v", "u")):
+                pairs = _met(pairs, hot[side], side, other, light.select("id", F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")))
+            pairs = pairs.filter(_alike(percent, scheme, ("n_u", "n_v"), ("s_u", "s_v"))).select("u", "v").distinct()
+        for side, other in (("u", "v"), ("v", "u")):
+            pairs = _met(pairs, hot[side], side, other, sets.withColumnRenamed("items", f"i_{side}"))
         common = F.size(F.array_intersect("i_u", "i_v"))
-        return both.filter(100 * common >= percent * (F.size("i_u") + F.size("i_v") - common)).select("u", "v")
+        return pairs.filter(100 * common >= percent * (F.size("i_u") + F.size("i_v") - common)).select("u", "v")
 
     nodes = reps.select("id").distinct() if repeated else reps.select("id")
     labels = nodes.select("id", F.col("id").alias("component"))
@@ -184,19 +241,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 known = known.join(ids.select("id", "central"), "id").withColumn("rank", F.struct("central", "id"))
             else:
                 known = known.withColumn("rank", F.struct(F.xxhash64(F.lit(turn), "id"), "id"))
-            tops = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("rank").alias("top"), F.max_by("component", "rank").alias("of")).filter("lo <> hi")
-            rest = known.join(tops.select(F.col("key").alias("k"), "top", "of"), F.col("key") == F.col("k")).filter("component <> of")
+            tops = known.groupBy("key", "c").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("rank").alias("top"), F.max_by("component", "rank").alias("of")).filter("lo <> hi")
+            tops = tops.select(F.col("key").alias("k"), "top", "of", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
+            rest = known.withColumn("part", part).join(tops, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).filter("component <> of")
             chosen = rest.groupBy("id").agg(F.max("top").alias("top")).select("id", F.col("top.id").alias("hub"))
-            pairs = like(chosen.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
+            pairs = chosen.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
         else:
-            mixed = known.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m")).filter("parts > 1").select(F.col("key").alias("k"), F.col("m.component").alias("largest"))
-            open_ = stage(known.join(mixed, F.col("key") == F.col("k")).select("key", "id", "component", "largest").join(light, "id"), "near-open")
-            left = open_.filter("component <> largest").select(F.col("key").alias("k_l"), F.col("id").alias("l"), F.col("component").alias("c_l"), F.col("largest").alias("g_l"), F.col("n").alias("n_l"), F.col("sketch").alias("s_l"), F.col("keys").alias("keys_l"))
-            allowed = (100 * F.least("n", "n_l") >= percent * F.greatest("n", "n_l")) & (_unlike("sketch", "s_l") <= bound)
+            mixed = known.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("c_all")).filter("parts > 1")
+            mixed = mixed.select(F.col("key").alias("k"), F.col("m.component").alias("largest"), F.ceil(F.col("c_all") / BLOCK).cast("int").alias("blocks"))
+            open_ = stage(known.join(mixed, F.col("key") == F.col("k")).select("key", "id", "component", "largest", "blocks").join(light, "id"), "near-open")
+            left = open_.filter("component <> largest").select(F.col("key").alias("k_l"), F.col("id").alias("l"), F.col("component").alias("c_l"), F.col("n").alias("n_l"), F.col("sketch").alias("s_l"), F.col("keys").alias("keys_l"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b_l"))
+            rows = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             # two rows outside the largest component meet twice; a pair of several common buckets counts in the least
-            once = ((F.col("component") == F.col("g_l")) | (F.col("id") < F.col("l"))) & (F.col("key") == F.array_min(F.array_intersect("keys", "keys_l")))
-            pairs = open_.join(left, (F.col("key") == F.col("k_l")) & (F.col("component") != F.col("c_l")) & allowed & once).select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v")).distinct()
-        found = linked(pairs)
+            once = ((F.col("component") == F.col("largest")) | (F.col("id") < F.col("l"))) & (F.col("key") == F.array_min(F.array_intersect("keys", "keys_l")))
+            on = (F.col("key") == F.col("k_l")) & (F.col("block") == F.col("b_l")) & (F.col("component") != F.col("c_l"))
+            pairs = rows.join(left, on & _alike(percent, scheme, ("n", "n_l"), ("sketch", "s_l")) & once).select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v"))
+        found = linked(pairs, sketched=turn == HUB_ROUNDS)
         links = found if links is None else links.union(found)
         links = stage(links, "near-links")
         grouped = stage(components(links), "near-components")

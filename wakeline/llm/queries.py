@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .bpe import op4_byte_bpe
 from .chat import OP5_SQL, op5_chat
 from .counts import op9_token_counts
-from .fingerprints import op6_fingerprints
+from .fingerprints import GROUPS_SQL, op6_fingerprints, similar_documents
 from .licenses import OP8_SQL, op8_licenses
 from .media import op7_media
 from .mixing import OP1_SQL, op1_mixing
@@ -26,7 +24,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
-    "pipeline": corpus_pipeline.run,
+    "similar_documents": similar_documents,
 }
 
 ORACLE_SQL = {
@@ -34,4 +32,5 @@ ORACLE_SQL = {
     "op3_near_duplicates": OP3_SQL,
     "op5_chat": OP5_SQL,
     "op8_licenses": OP8_SQL,
+    "similar_documents": GROUPS_SQL,
 }
