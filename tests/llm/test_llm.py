@@ -573,6 +573,68 @@ def test_pipeline_stages(spark, sf_dir):
     assert len(C.STAGES) == 4 and C.ORACLE_SQL is None
 
 
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_pipeline_near_dedup_on_null_and_repeated_ids(spark, sf_dir):
+    """One row of each group, by brute force over rows."""
+    import corpus_pipeline as C
+
+    rng = random.Random(21)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(80)) for _ in range(4)]
+    texts = [base[0], base[0], base[0], base[1], edited(base[1], 1, rng), base[2], edited(base[2], 1, rng), base[3], "lone text of six words here", "", "", None, None]
+    ids = [None, None, None, None, 7, 7, 7, 7, None, None, 8, 8, 8]
+    df = clashing(docs_of(spark, texts, ids))
+    got = C.drop_near_duplicates(spark, df, sf_dir)
+    _, root = brute_components(texts, 5)
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(i)
+    kept = sorted(str((r.doc_id, r.text)) for r in got.collect())
+    assert len(kept) == len(groups) and got.columns == df.columns
+    want = []
+    for r, members in groups.items():
+        least = min((ids[i] is None, ids[i] or 0) for i in members)
+        want.append([str((ids[i], texts[i])) for i in members if (ids[i] is None, ids[i] or 0) == least])
+    for one in want:
+        assert sum(k in one for k in set(kept)) >= 1
+    assert kept.count(str((None, base[0]))) == 1 and str((None, base[1])) not in kept  # 7 has a near copy
+    assert kept.count(str((8, None))) == 2
+    more = C.drop_near_duplicates(spark, df.union(docs_and(spark, df, 50)), sf_dir)
+    assert sum(r.text == base[0] for r in more.collect()) == 1
+
+
+def docs_and(spark, like, i):
+    """Two rows of one id, of other words."""
+    extra = docs_of(spark, ["quite other words are in here", "quite other words are in here"], [i, i])
+    return clashing(extra).select(*like.columns)
+
+
+def test_pipeline_mix_on_null_and_repeated_ids(spark, sf_dir, monkeypatch):
+    """What the stage writes is what the mix takes, row by row; rows of one draw are dealt to several tasks."""
+    import corpus_pipeline as C
+
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 16)
+    texts = prose(30, 200, 60)
+    ids = [None] * 90 + [5] * 60 + list(range(100, 150))
+    source = [("a", "b", None, "c")[i % 4] for i in range(200)]
+    df = clashing(docs_of(spark, texts, ids, source))
+    taken = mixing.mix(df)
+    plan = {r.source: (r.target, r.source_size) for r in taken.collect()}
+    got = C.mix_sources(spark, df, sf_dir)
+    assert got.columns == df.columns
+    size = lambda t: len(WORD.findall(t or ""))
+    each = {(i, t, s): 0 for i, t, s in zip(ids, texts, source, strict=True)}
+    for r in got.collect():
+        each[r.doc_id, r.text, r.source] += 1
+    for s, (target, whole) in plan.items():
+        words = sum(n * size(t) for (_, t, z), n in each.items() if z == s)
+        assert abs(words - target) <= 30 + 1 and words == sum(r.taken for r in taken.filter(F.col("source").eqNullSafe(F.lit(s))).collect())
+        assert {n for (_, t, z), n in each.items() if z == s and t} <= {int(target // whole), int(target // whole) + 1}
+    assert rows_of(got) == rows_of(C.mix_sources(spark, df.repartition(5), sf_dir))
+
+
 def test_pipeline_stages_odd_tables(spark, sf_dir):
     import corpus_pipeline as C
 

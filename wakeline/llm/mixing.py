@@ -7,11 +7,14 @@ by cap / weight and summing from the tight end, so no loop is needed.
 
 mix() then samples: each row is taken floor(target / source_size) times, and the fractional epoch takes the
 rows with the smallest seeded draw until their words fill it. The cut in the draws comes from a histogram
-by source of the draw's leading bits; only rows in the one bin that the cut falls in are put in order.
+by source of the draw's leading bits. Only rows in the one bin that the cut falls in are put in order: dealt to
+tasks by ranges of (draw, id, size, text, row), with running sums inside and offsets between them, so that neither a hot
+source nor many rows of one id (or none) meet in one task. repeated() gives whole rows as often as the mix takes them;
+texts are not shuffled for it.
 
 Defined results: null or empty texts have size 0 and are taken 0 times in words; a null source is a source
-(the last); sources of size 0 have target 0; repeated rows are rows of their own; an empty table gives an
-empty table; columns of the input other than id, text and source don't matter (keep them with keep=).
+(the last); sources of size 0 have target 0; repeated rows are rows of their own; rows without an id have the same draw
+and are ordered by size and text; an empty table gives an empty table; columns of the input other than id, text and source don't matter.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import spare, stage
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -29,6 +32,8 @@ SEED = "mix-1"
 DRAW_BITS, BIN_BITS = 52, 12
 #: Source tables of up to so many rows are broadcast; beyond it Spark chooses the join.
 BROADCAST_SOURCES = 10_000
+#: Rows of a cut bin that one task puts in order.
+EDGE_ROWS = 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,14 +76,31 @@ def _with_sources(rows: DataFrame, table: DataFrame, few: bool, *more: str) -> D
     return rows.join(F.broadcast(table) if few else table, on, "left").drop("_source", *[f"_{c}" for c in more])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats (times the mix takes the row), taken (words it takes)."""
+def _edge(inside: DataFrame) -> DataFrame:
+    """row, upto: the words up to each row of its source's cut bin, itself included, in order."""
+    order = ["draw", "id", "size", "tie", "row"]
+    tasks = -(-max(1, inside.count()) // EDGE_ROWS)
+    dealt = stage(inside.repartitionByRange(tasks, "source", *order).withColumn("task", F.spark_partition_id()), "mix-edge")
+    # one row for each source and task
+    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("source", "task").agg(F.sum("size").alias("words")).withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    offsets = offsets.select(F.col("source").alias("s"), F.col("task").alias("t"), "offset")
+    inner = Window.partitionBy("source", "task").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.select("source", "task", "row", F.sum("size").over(inner).alias("words"))
+    return within.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t"))).select("row", (F.col("words") + F.col("offset")).alias("upto"))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, max_epochs: float, seed: str, keep: tuple[str, ...]) -> DataFrame:
+    """id, source, size, source_size, target, repeats of every row, and `kept`, a struct of the columns to keep."""
     bins = 1 << BIN_BITS
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), draw(F.col(id_col), seed).alias("draw"))
-        .withColumn("bin", F.shiftright("draw", DRAW_BITS - BIN_BITS).cast("int")),
-        "mix-sizes",
-    )
+        docs.select(
+            id_.alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(text).alias("size"), draw(id_, seed).alias("draw"), F.xxhash64(text).alias("tie"),
+            F.struct(F.lit(None).cast("int"), *(F.col(f"`{c}`") for c in keep)).alias("kept"), F.monotonically_increasing_id().alias("row"),
+        ).withColumn("bin", F.shiftright("draw", DRAW_BITS - BIN_BITS).cast("int")),
+        "mix-rows",
+    )
     histogram = stage(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-histogram")
     sources = stage(targets(histogram.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs), "mix-targets")
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -92,16 +114,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .filter(F.col("upto") >= F.col("need")).groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
         .select("source", F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
     )
-    plan = _with_sources(plan, cut, few)
+    plan = stage(_with_sources(plan, cut, few), "mix-plan")
     planned = _with_sources(rows, plan, few)
-    inside = F.col("bin") == F.col("cut_bin")
-    edge = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    outside = planned.filter(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(True)))
-    between = planned.filter(inside).withColumn("upto", F.col("before") + F.sum("size").over(edge)).withColumn("extra", F.col("upto") - F.col("size") / 2.0 <= F.col("need")).drop("upto")
+    inside = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
+    outside = planned.filter(~inside).withColumn("extra", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(True)))
+    ordered = _edge(planned.filter(inside).select("source", "draw", "id", "size", "tie", "row")).withColumnRenamed("row", "row_")
+    between = planned.filter(inside).join(ordered, F.col("row") == F.col("row_")).withColumn("extra", F.col("before") + F.col("upto") - F.col("size") / 2.0 <= F.col("need")).drop("row_", "upto")
     out = outside.unionByName(between)
     # a whole number of epochs needs no extra row
     repeats = (F.col("whole") + F.when(F.col("extra") & (F.col("need") > 0) & (F.col("size") > 0), 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return out.select("id", "source", "size", "source_size", "target", repeats.alias("repeats"), "kept")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats (times the mix takes the row), taken (words it takes)."""
+    out = _mixed(docs, id_col, text_col, source_col, weights, max_epochs, seed, ())
+    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """Every row of docs as many times as the mix takes it, with the columns of docs."""
+    out = _mixed(docs, id_col, text_col, source_col, weights, max_epochs, seed, tuple(docs.columns)).filter("repeats > 0")
+    turns = out.select("kept", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    return turns.select(*(F.col("kept").getField(c).alias(c) for c in docs.columns))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
