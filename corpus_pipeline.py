@@ -3,6 +3,11 @@ target weights, and what is taken is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet, and read as docs of
 the next. All but the last return the columns of documents.
+
+Defined results, whatever the ids are: stages decide row by row, never by joining on doc_id. Rows without an id, and
+rows that share one, are documents of their own. Null and empty texts have the score of texts without words, are in no group of
+near duplicates (all of them stay), and are taken 0 times by the mix, which counts words. Of equal rows, one stays beside the
+others' group. An empty table gives an empty table; other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -23,18 +28,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; rows without an id stay, repeated rows become one."""
-    found = stage(neardup.near_duplicates(docs, size=5).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "pipeline-found")
-    out = with_ids(docs, "doc_id", found.filter("not kept").select(F.col("doc_id").alias("id")), "left_anti").select(*docs.columns)
-    return out.dropDuplicates() if found.filter("n > 1").limit(1).count() else out
+    """One row of each group of near duplicates: that of the smallest id (none comes last), among these of the least hash of its columns."""
+    row = f"{spare(docs.columns, '_near_')}row"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    found = neardup.near_duplicates(rows, id_col=row, size=5).filter("n_shingles > 0").select(F.col("doc_id").alias("found"), "component_id")
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
+    place = rows.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), hashed, F.col(row).alias("row")).alias("place"))
+    found = stage(found.join(place, F.col("found") == F.col("row")).select("component_id", "place", "row"), "pipeline-groups")
+    best = found.groupBy("component_id").agg(F.min("place").alias("best")).select(F.col("best.row").alias("best"))
+    gone = stage(found.join(best, F.col("row") == F.col("best"), "left_anti").select(F.col("row").alias("id")), "pipeline-gone")
+    return with_ids(rows, row, gone, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as many times as the mix takes it."""
-    name = spare(docs.columns, "_mix_")
-    taken = mixing.mix(docs).filter("repeats > 0").groupBy(F.col("doc_id").alias(f"{name}id")).agg(F.max("repeats").cast("int").alias(f"{name}repeats"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(f"{name}id")))
-    return rows.withColumn(f"{name}turn", F.explode(F.sequence(F.lit(1), F.col(f"{name}repeats")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
