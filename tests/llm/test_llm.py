@@ -534,14 +534,68 @@ def test_toxicity_on_held_out_rows(spark):
 def test_every_example_is_found_by_its_copy(spark):
     """Also abuse that one example only has, which is no sure mark of label 1."""
     texts = [f"{t} rareword{i}" if i % 9 == 0 else t for i, t in enumerate(prose(12, 200, 60, 3000))]
-    model = toxicity.Model([(i, t, int(i % 9 == 0)) for i, t in enumerate(texts)], 0.1)
+    model = toxicity.Model(toxicity.described([(i, t, int(i % 9 == 0)) for i, t in enumerate(texts)]), 0.1)
     for i, t in enumerate(texts):
         score, evidence = model.score(t)
         assert evidence[0] == i and (score >= toxicity.THRESHOLD) == (i % 9 == 0)
-    vectors = [dict(zip(*(x.tolist() for x in model.vector(toxicity.counts(texts[i]))), strict=True)) for i in model.ids]
+    n = model.neighbours
+    vectors = [dict(zip(*(x.tolist() for x in n.vector(toxicity.counts(texts[i]))), strict=True)) for i in n.ids]
     for t in prose(13, 30, 60, 3000):
-        near = brute_nearest(vectors, dict(zip(*(x.tolist() for x in model.vector(toxicity.counts(t))), strict=True)), toxicity.NEIGHBOURS)
-        assert model.score(t)[1] == [model.ids[row] for _, row in near]
+        near = brute_nearest(vectors, dict(zip(*(x.tolist() for x in n.vector(toxicity.counts(t))), strict=True)), toxicity.NEIGHBOURS)
+        score, evidence = model.score(t)
+        assert evidence == [n.ids[row] for _, row in near]
+        # votes by cosine at the labels' natural weights, through the map of votes
+        share = {0: 0.9 / 177, 1: 0.1 / 23}
+        label = lambda row: int(n.ids[row] % 9 == 0)
+        vote = sum(-s * share[1] for s, row in near if label(row)) / sum(-s * share[label(row)] for s, row in near)
+        assert n.vote(n.nearest(*n.tf(toxicity.counts(t)))) == pytest.approx(vote)
+        if near[0][0] > -toxicity.SAME:
+            assert score == pytest.approx(min(1.0, [y for x, y in zip(model.steps, model.levels, strict=True) if x <= vote + 1e-9][-1]))
+
+
+def test_vectors_are_tf_idf():
+    texts = ["aa bb aa cc", "aa dd", "bb ee ee", "ff aa"]
+    model = toxicity.Model(toxicity.described([(i, t, i % 2) for i, t in enumerate(texts)]), 0.5)
+    n = model.neighbours
+    terms, weights = n.vector(toxicity.counts("aa aa bb zz"))
+    raw = {"aa": (1 + np.log(2)) * (np.log(5 / 4) + 1), "bb": np.log(5 / 3) + 1}
+    factor = {m: n.scale[n.marks[m]] / (raw[m] / ((1 + np.log(2)) if m == "aa" else 1)) for m in raw}
+    raw = {m: v * factor[m] for m, v in raw.items()}
+    norm = sum(v * v for v in raw.values()) ** 0.5
+    names = {v: k for k, v in n.marks.items()}
+    assert {names[t]: w for t, w in zip(terms.tolist(), weights.tolist(), strict=True) if names[t] in raw} == pytest.approx({m: v / norm for m, v in raw.items()}, rel=1e-9)
+    assert all(toxicity.PLAIN - 1e-9 <= f <= 1 + 1e-9 for f in factor.values())
+
+
+def test_calibration_is_monotone_regression():
+    rng = np.random.default_rng(4)
+    votes = rng.integers(0, 40, 300) / 40
+    labels = (rng.random(300) < votes).astype(np.int64)
+    weights = np.where(labels, 0.7, 1.3)
+    model = toxicity.Model([], 0.0)
+    model._calibrate(votes, labels, weights)
+    at = np.unique(votes)
+    num, den = ([float((w[votes == v]).sum()) for v in at] for w in (weights * labels, weights))
+    best = [max(min(sum(num[a : z + 1]) / sum(den[a : z + 1]) for z in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    got = [model.levels[np.searchsorted(model.steps, v, side="right") - 1] for v in at]
+    assert (np.diff(model.levels) >= 0).all() and np.abs(np.array(got) - best).max() < 0.2
+    assert len({round(x, 9) for x in best}) >= len(set(got))
+
+
+def test_copies_share_a_vote_when_confirmed():
+    rng = random.Random(5)
+    base = " ".join(f"w{rng.randrange(9000)}" for _ in range(120))
+    passage = " ".join(base.split()[:50])
+    texts = [base, edited(base, 1, rng), base, f"{passage} " + " ".join(f"v{rng.randrange(9000)}" for _ in range(90)), "", None, "x"]
+    assert toxicity.copy_groups(toxicity.sampled(texts)).tolist() == [0, 0, 0, 3, 4, 5, 6]
+
+
+def test_long_words_are_whole():
+    """Words that agree in their first thousand characters are different words."""
+    head = "a" * 1000
+    rows = [(i, f"{head}{'x' if i % 2 else 'y'} plain words", i % 2) for i in range(12)]
+    model = toxicity.Model(toxicity.described(rows), 0.5)
+    assert model.score(head + "x plain words")[0] > 0.3 > model.score(head + "y plain words")[0]
 
 
 def test_toxicity_without_labels(spark):

@@ -1,21 +1,23 @@
 """Toxicity by nearest labelled examples.
 
-fit() takes a bounded sample of labelled rows (PER_CLASS of each label, by a hash of the id) and makes TF-IDF vectors
-over all of their words, so every example with a word can be found. Words that tell label 1 (near copies share one vote)
-weigh more, by how sure that is; their beginnings and repeated forms are terms of their own. The examples lie in an inverted index
+fit() takes a bounded sample of labelled rows (PER_CLASS of each label, by a hash of the id); executors count their words, and
+the driver gets words and counts, never texts. TF-IDF vectors are made over all of their words, so every example with a
+word can be found. Words that tell label 1 (near copies share one vote) weigh more, by how sure that is; their beginnings and
+repeated forms are terms of their own. The examples lie in an inverted index
 cut into blocks: each posting list knows the largest weight in each block, so a bound on the cosine of a whole block
 is known without reading it, and blocks are read in falling order of their bounds until none can hold a nearer
-example: the NEIGHBOURS found are exact. Their cosines are the weights of their votes, and a monotone map fitted on
-the examples (each without itself) turns votes into probabilities at the natural rate of the labels. Texts without
-any word of an example have the rate of such texts among the examples, or of label 1; texts with just an example's
-words have its label. The neighbours are returned as evidence.
+example: the NEIGHBOURS found are exact. Their cosines are the weights of their votes, and a monotone map
+turns votes into probabilities at the natural rate of the labels. The map is fitted on votes for examples that had no part in
+choosing terms, weights or neighbours: the examples are dealt to FOLDS parts, copies to the same, and each part is voted on by
+the others. Texts without any word of an example have the rate of such texts among the examples, or of label 1; texts with just an
+example's words have its label. The neighbours are returned as evidence.
 
 Labels are learnt only from rows whose crc32 of the id as text, modulo 4, is not 2. Inputs of a score are the text's
 words alone.
 
-Defined results: null and empty texts have no words; an id with several labels has the largest; labels other than
-0 and 1, and null ids, are not learnt from; without examples of both labels every score is 0; equal cosines are
-ordered by the example's id; repeated rows, extra columns and empty tables do no harm.
+Defined results: null and empty texts have no words; an id with several labels has the largest, an id with several texts the least
+of them; labels other than 0 and 1, and null ids, are not learnt from; without examples of both labels every score is 0; equal
+cosines are ordered by the example's id; repeated rows, extra columns and empty tables do no harm.
 """
 
 from __future__ import annotations
@@ -31,18 +33,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches, spare, trim
-from .neardup import samples
-from .wordhash import mix, shingles, utf8, words
+from .neardup import bands, samples
+from .wordhash import shingles, utf8, words
 
-#: Bounds of what is gathered: examples of each label, and code points of each.
+#: The bound of what is learnt from and gathered: the different words of so many examples of each label.
 PER_CLASS = 2000
 #: Evidence that gives a word its full weight (beginnings and repeated forms count from there on), and the weight of words without any.
 LEAST_Z, LEAST_RATIO, POWER, PLAIN = 3.4, 4.0, 4, 0.02
 BEGINNINGS = (4, 5, 6)
 #: A mark that a text has so often is a mark of its own.
 OFTEN = (2, 4)
-LONGEST_WORD = 40
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, FOLDS = 15, 64, 4
+#: Rows at the natural rate that are added to each rate of the map of votes.
+PRIOR = 4
+#: The share of MinHash samples that near copies have in common.
+COPIES = 0.8
 #: Blocks that are read before a bound is tried; then four times as many each time.
 FIRST_BLOCKS = 8
 THRESHOLD = 0.3
@@ -52,16 +57,23 @@ _WORD = re.compile(r"\w+")
 
 
 def word_marks(word: str) -> list[str]:
-    return [word[:LONGEST_WORD], *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
 
 
 def counts(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-def copy_weights(texts: list[str | None]) -> np.ndarray:
-    """1 / size of each text's group of near copies: texts that share three MinHash samples in a row, and theirs."""
-    root = np.arange(len(texts))
+def sampled(texts: list[str | None]) -> list[np.ndarray | None]:
+    """MinHash samples of each text's five-word shingles; None without a word."""
+    made, cuts = shingles(*words(*utf8(pa.array(texts, pa.large_string()))), 5)
+    rows = iter(samples(made, cuts))
+    return [next(rows) if has else None for has in np.diff(cuts) > 0]
+
+
+def copy_groups(sample: list[np.ndarray | None]) -> np.ndarray:
+    """Each example's group of near copies: rows that share a band with one of the group and COPIES of its samples."""
+    root = np.arange(len(sample))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -69,17 +81,24 @@ def copy_weights(texts: list[str | None]) -> np.ndarray:
             x = root[x]
         return x
 
-    seen: dict[int, int] = {}
-    for start in range(0, len(texts), 100):  # a few texts at a time, for the driver's memory
-        made, cuts = shingles(*words(*utf8(pa.array(texts[start : start + 100], pa.large_string()))), 5)
-        has = (start + np.flatnonzero(np.diff(cuts))).tolist()
-        kept = mix(samples(made, cuts)[:, :192].reshape(len(has), 64, 3) * np.array([1, 3, 5], np.uint64)).sum(axis=2)
-        for i, row in zip(has, kept.tolist(), strict=True):
-            for band, key in enumerate(row):
-                a, b = find(i), find(seen.setdefault((key + band) & 0xFFFFFFFFFFFFFFFF, i))
-                root[max(a, b)] = min(a, b)
-    groups = np.array([find(i) for i in range(len(texts))], np.int64)
-    return 1.0 / np.bincount(groups, minlength=len(texts))[groups]
+    #: of each bucket, rows that aren't near copies of each other
+    seen: dict[int, list[int]] = {}
+    for i, row in enumerate(sample):
+        if row is None:
+            continue
+        tried: dict[int, bool] = {}
+        for key in bands(row[None])[0].tolist():
+            held = seen.setdefault(key, [])
+            for j in held:
+                if j not in tried:
+                    tried[j] = float((row == sample[j]).mean()) >= COPIES
+                if tried[j]:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+                    break
+            else:
+                held.append(i)
+    return np.array([find(i) for i in range(len(sample))], np.int64)
 
 
 def often(tf: dict[str, int]) -> list[str]:
@@ -169,98 +188,99 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-class Model:
-    def __init__(self, examples: list[tuple[int, str, int]], rate: float):
-        """examples: (id, text, label); rate: the share of label 1 among all labelled rows."""
-        examples = sorted(examples, key=lambda x: x[0])
-        texts = [x[1] for x in examples]
-        labels = np.array([x[2] for x in examples], np.int64)
-        n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-        self.ids, self.labels = [], np.zeros(0)
-        self.marks, self.beginnings, self.openings, self.repeated, self.scale = {}, set(), set(), set(), np.zeros(0)
-        self.index, self.empty = BlockMaxIndex([]), 0.0
-        self.steps, self.levels = np.array([0.0]), np.array([0.0])
-        if not n.all():
-            return
-        weight = np.array([(1 - rate) / n[0], rate / n[1]])
-        copies = copy_weights(texts)
-        self._pick(texts, labels, copies)
-        held = [self._tf(counts(x)) for x in texts]
-        df = np.bincount(np.concatenate([t for t, _ in held]), minlength=len(self.marks))
-        self.idf = np.log((len(texts) + 1) / (1 + df)) + 1
-        self.scale = self.idf * emphasis(*self.support, self.totals)
+class Terms:
+    """Numbers for all marks of the examples, and each example's marks with how often it has them.
+
+    Beginnings and repeated forms are numbered only where label 1 has them, which keeps the tables small.
+    """
+
+    def __init__(self, bags: list[Counter], labels: np.ndarray):
+        self.number: dict[str, int] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i in [*np.flatnonzero(labels == 1).tolist(), *np.flatnonzero(labels != 1).tolist()]:
+            tf: dict[str, int] = {}
+            for word, k in bags[i].items():
+                self.number.setdefault(word, len(self.number))
+                for mark in word_marks(word):
+                    tf[mark] = tf.get(mark, 0) + k
+            marks = {m: tf[m.partition("#")[0]] for m in often(tf)}
+            if labels[i] == 1:
+                for m in marks:
+                    self.number.setdefault(m, len(self.number))
+            known = {t: k for m, k in marks.items() if (t := self.number.get(m)) is not None}
+            terms = np.fromiter(known, np.int32, len(known))
+            order = np.argsort(terms)
+            held[i] = terms[order], np.fromiter(known.values(), np.int32, len(known))[order]
+        self.rows = [held[i] for i in range(len(bags))]
+        self.names = list(self.number)
+        self.word = np.array([m[-1] != "*" and "#" not in m for m in self.names], bool)
+
+
+class Neighbours:
+    """Examples in an index of TF-IDF vectors, and votes of the nearest."""
+
+    def __init__(self, terms: Terms, ids: np.ndarray, labels: np.ndarray, weight: np.ndarray, groups: np.ndarray, of: np.ndarray):
+        """of: the examples to learn from; weight: what an example of each label counts for; groups: of near copies."""
+        rows = [terms.rows[i] for i in of]
+        self._pick(terms, rows, labels[of], 1.0 / np.bincount(groups[of])[groups[of]])
+        held = [self.known(x) for x in rows]
+        df = np.bincount(np.concatenate([t for t, _ in held]), minlength=len(self.scale))
+        self.scale *= np.log((len(of) + 1) / (1 + df)) + 1
         strongest = np.array([t[np.argmax(self._unit(t, n))] if len(t) else -1 for t, n in held])
-        none = strongest < 0
-        self.empty = float(((none & (labels == 1)).sum() * weight[1] + rate * weight.min()) / ((weight[labels] * none).sum() + weight.min()))
         # rows with the same strongest mark lie together, which makes blocks' bounds tight
-        order = sorted(np.flatnonzero(~none).tolist(), key=lambda i: (strongest[i], examples[i][0]))
-        self.ids, self.labels = [examples[i][0] for i in order], labels[order]
+        order = sorted(np.flatnonzero(strongest >= 0).tolist(), key=lambda i: (strongest[i], ids[of[i]]))
+        self.ids, self.labels = ids[of[order]].tolist(), labels[of[order]]
         self.weights = weight[self.labels]
         self.index = BlockMaxIndex((held[i][0], self._unit(*held[i])) for i in order)
-        # an example's vote is that of a text not learnt from: its own evidence is taken from its words
-        votes = []
-        for place, i in enumerate(order):
-            query = held[i][0], self._unit(*held[i], own=(labels[i], copies[i]))
-            votes.append(self.vote(self.index.nearest(query, NEIGHBOURS, without=place)))
-        self.idf, self.support = np.zeros(0), np.zeros((2, 0))  # scores need the scale only
-        self._calibrate(np.array(votes))
-
-    def _pick(self, texts: list[str | None], labels: np.ndarray, copies: np.ndarray) -> None:
-        """The marks: every word of an example, and the beginnings and repeated forms that tell label 1.
-
-        Those of label 0 are counted only where label 1 has them, beginnings and repeated forms only where it has them twice, which keeps the tables small.
-        """
+
+    def _pick(self, terms: Terms, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, copies: np.ndarray) -> None:
+        """The marks and their factors: every word of an example, and the beginnings and repeated forms that tell label 1."""
         n = [float(copies[labels == y].sum()) for y in (0, 1)]
-        seen: tuple[dict[str, float], dict[str, float]] = ({}, {})
-        plain: dict[str, int] = {}
-        for y in (1, 0):
-            for text, label, share in zip(texts, labels.tolist(), copies.tolist(), strict=True):
-                if label != y:
-                    continue
-                tf: dict[str, int] = {}
-                for word, k in counts(text).items():
-                    plain.setdefault(word[:LONGEST_WORD], len(plain))
-                    for mark in word_marks(word):
-                        tf[mark] = tf.get(mark, 0) + k
-                for mark in often(tf):
-                    if y or mark in seen[1]:
-                        seen[y][mark] = seen[y].get(mark, 0.0) + share
-            if y:
-                seen = (seen[0], {m: a for m, a in seen[1].items() if a > 1 or m in plain})
-        ranked = []
-        for mark, a in seen[1].items():
-            b = seen[0].get(mark, 0.0)
+        size = len(terms.names)
+        support = [np.zeros(size), np.zeros(size)]
+        for (found, _), label, share in zip(rows, labels.tolist(), copies.tolist(), strict=True):
+            support[label][found] += share
+        b, a = support
+        with np.errstate(divide="ignore"):
             z, ratio = evidence(a, b, n)
-            if z > LEAST_Z and ratio > LEAST_RATIO:
-                ranked.append((-z, mark))
+        sure = np.flatnonzero((z > LEAST_Z) & (ratio > LEAST_RATIO) & ((a > 1) | terms.word))
+        names = [terms.names[i] for i in sure]
         # a beginning says no more than a longer mark that nearly all of its support has
         longer: dict[str, float] = {}
-        for _, mark in ranked:
+        for i, mark in zip(sure.tolist(), names, strict=True):
             if "#" not in mark:
                 for k in range(BEGINNINGS[0], len(mark.rstrip("*")) + (not mark.endswith("*"))):
-                    longer[mark[:k]] = max(longer.get(mark[:k], 0.0), seen[1][mark])
-        weak = {m for _, m in ranked if m.endswith("*") and longer.get(m[:-1], 0.0) >= 0.9 * seen[1][m]}
-        ranked = [(z, m) for z, m in ranked if m.partition("#")[0] not in weak]
-        self.marks = plain
-        for _, mark in sorted(ranked):
-            self.marks.setdefault(mark, len(self.marks))
+                    longer[mark[:k]] = max(longer.get(mark[:k], 0.0), a[i])
+        weak = {m for i, m in zip(sure.tolist(), names, strict=True) if m.endswith("*") and longer.get(m[:-1], 0.0) >= 0.9 * a[i]}
+        self.chosen = terms.word & (a + b > 0)
+        for i, m in zip(sure.tolist(), names, strict=True):
+            self.chosen[i] |= m.partition("#")[0] not in weak
+        self.scale = np.where(self.chosen, emphasis(a, b, n), 0.0)
+
+    def named(self, terms: Terms) -> Neighbours:
+        """With the names of the marks, which texts that aren't examples need."""
+        self.marks = {terms.names[i]: i for i in np.flatnonzero(self.chosen).tolist()}
         self.beginnings = {m.partition("#")[0] for m in self.marks if "*" in m}
         self.openings = {m[: BEGINNINGS[0]] for m in self.beginnings}
         self.repeated = {m.partition("#")[0] for m in self.marks if "#" in m}
-        self.totals, self.support = n, np.array([[of.get(m, 0.0) for m in self.marks] for of in (seen[1], seen[0])])
+        return self
 
-    def _tf(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def known(self, row: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The marks of an example that are chosen."""
+        here = self.chosen[row[0]]
+        return row[0][here].astype(np.int64), row[1][here].astype(float)
+
+    def tf(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Marks of a bag of words, and how often it has each."""
         tf: dict[int, int] = {}
         found: dict[str, int] = {}
         marks, beginnings, repeated, (a, b, c) = self.marks, self.beginnings, self.repeated, BEGINNINGS
         for word, k in bag.items():
             size = len(word)
-            m = word if size <= LONGEST_WORD else word[:LONGEST_WORD]
-            if (t := marks.get(m)) is not None:
-                tf[t] = tf.get(t, 0) + k
-                if m in repeated:
-                    found[m] = found.get(m, 0) + k
+            if (t := marks.get(word)) is not None:
+                tf[t] = k
+                if word in repeated:
+                    found[word] = k
             if size > a and (m := word[:a]) in self.openings:
                 if (m := m + "*") in beginnings:
                     found[m] = found.get(m, 0) + k
@@ -276,61 +296,110 @@ class Model:
         order = np.argsort(terms)
         return terms[order], np.fromiter(tf.values(), float, len(tf))[order]
 
-    def _unit(self, terms: np.ndarray, tf: np.ndarray, own: tuple[int, float] | None = None) -> np.ndarray:
-        """Weights of a unit TF-IDF vector; own is the label and share of an example whose evidence doesn't count."""
-        if own is None:
-            scale = self.scale[terms]
-        else:
-            a, b = self.support[:, terms]
-            scale = self.idf[terms] * emphasis(np.maximum(a - own[0] * own[1], 0), np.maximum(b - (1 - own[0]) * own[1], 0), self.totals)
-        out = (1 + np.log(tf)) * scale
+    def _unit(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """Weights of a unit TF-IDF vector."""
+        out = (1 + np.log(tf)) * self.scale[terms]
         return out / math.sqrt(float(out @ out)) if len(out) else out
 
     def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The unit TF-IDF vector of a bag of words over the marks: marks and weights."""
-        terms, tf = self._tf(bag)
+        terms, tf = self.tf(bag)
         return terms, self._unit(terms, tf)
 
+    def nearest(self, terms: np.ndarray, tf: np.ndarray) -> list[tuple[float, int]]:
+        return self.index.nearest((terms, self._unit(terms, tf)), NEIGHBOURS)
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of label 1 in the neighbours' cosines, each at its label's natural weight."""
-        if not near:
-            return 0.0
         each = [(s * self.weights[row], self.labels[row]) for s, row in near]
         return sum(x for x, y in each if y) / sum(x for x, _ in each)
 
-    def _calibrate(self, votes: np.ndarray) -> None:
+
+class Model:
+    """Neighbours and the map of their votes to probabilities."""
+
+    def __init__(self, examples: list[tuple[int, Counter, np.ndarray | None, int]], rate: float):
+        """examples: (id, words, MinHash samples, label); rate: the share of label 1 among all labelled rows."""
+        examples = sorted(examples, key=lambda x: x[0])
+        labels = np.array([x[3] for x in examples], np.int64)
+        n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+        self.neighbours, self.empty = None, 0.0
+        self.steps, self.levels = np.array([0.0]), np.array([0.0])
+        if not n.all():
+            return
+        weight = np.array([(1 - rate) / n[0], rate / n[1]])
+        groups = copy_groups([x[2] for x in examples])
+        terms, ids = Terms([x[1] for x in examples], labels), np.array([x[0] for x in examples], np.int64)
+        votes = np.full(len(examples), np.nan)
+        # groups are dealt to folds label by label, as they come by id
+        fold = np.zeros(len(examples), np.int64)
+        for y in (0, 1):
+            firsts, place = np.unique(groups[labels[groups] == y], return_inverse=True)
+            fold[labels[groups] == y] = (np.arange(len(firsts)) % FOLDS)[place]
+        for k in range(FOLDS):
+            of, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            if len(out) and 0 < labels[of].sum() < len(of):
+                others = Neighbours(terms, ids, labels, weight, groups, of)
+                for i in out:
+                    if near := others.nearest(*others.known(terms.rows[i])):
+                        votes[i] = others.vote(near)
+        self.neighbours = Neighbours(terms, ids, labels, weight, groups, np.arange(len(examples))).named(terms)
+        weights = weight[labels]
+        none = np.array([not x[1] for x in examples])
+        self.empty = float(((none & (labels == 1)).sum() * weight[1] + rate * weight.min()) / ((weights * none).sum() + weight.min()))
+        voted = ~np.isnan(votes)
+        self._calibrate(votes[voted], labels[voted], weights[voted])
+
+    def _calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Pool adjacent violators: the monotone map of votes to rates."""
         pools: list[list[float]] = []
         for v in np.unique(votes):
             at = votes == v
-            pools.append([v, float((self.weights * self.labels)[at].sum()), float(self.weights[at].sum())])
+            pools.append([v, float((weights * labels)[at].sum()), float(weights[at].sum())])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 top = pools.pop()
                 pools[-1] = [pools[-1][0], pools[-1][1] + top[1], pools[-1][2] + top[2]]
         if pools:
-            unit = float(self.weights.min())
+            unit, rate = float(weights.min()), float((weights * labels).sum() / weights.sum())
             self.steps = np.array([p[0] for p in pools])
-            self.levels = np.maximum.accumulate([(p[1] + 0.5 * unit) / (p[2] + unit) for p in pools])
+            self.levels = np.maximum.accumulate([(p[1] + PRIOR * rate * unit) / (p[2] + PRIOR * unit) for p in pools])
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """The calibrated score, and the ids of the neighbours it rests on."""
-        near = self.index.nearest(self.vector(counts(text)), NEIGHBOURS)
+        if self.neighbours is None:
+            return 0.0, []
+        near = self.neighbours.nearest(*self.neighbours.tf(counts(text)))
         if not near:
             return self.empty, []
-        evidence = [self.ids[row] for _, row in near]
+        evidence = [self.neighbours.ids[row] for _, row in near]
         # examples of the very same words settle it alone
         if near[0][0] >= SAME:
-            return self.vote([x for x in near if x[0] >= SAME]), evidence
-        at = int(np.searchsorted(self.steps, self.vote(near) + 1e-12, side="right")) - 1
+            return self.neighbours.vote([x for x in near if x[0] >= SAME]), evidence
+        at = int(np.searchsorted(self.steps, self.neighbours.vote(near) + 1e-12, side="right")) - 1
         return float(min(1.0, self.levels[max(at, 0)])), evidence
 
 
+def described(rows: list[tuple[int, str | None, int]]) -> list[tuple[int, Counter, np.ndarray | None, int]]:
+    """Examples as Model takes them, from (id, text, label)."""
+    return [(i, counts(t), sample, y) for (i, t, y), sample in zip(rows, sampled([t for _, t, _ in rows]), strict=True)]
+
+
+def _describe(batches):
+    for b in batches:
+        for i, bag, sample, y in described(list(zip(*(c.to_pylist() for c in b.columns), strict=True))):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int64()), pa.array([list(bag)], pa.list_(pa.string())), pa.array([list(bag.values())], pa.list_(pa.int64())), pa.array([None if sample is None else sample.tobytes()], pa.binary()), pa.array([y], pa.int32())],
+                ["id", "words", "n", "sample", "label"],
+            )
+    trim()
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """What reaches the driver: one row of rates, and 2 * per_class texts."""
+    """What reaches the driver: one row of rates, and of 2 * per_class examples the different words, counts and MinHash samples."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.join(docs.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi")
     n = dict(known.groupBy("label").count().collect())
@@ -339,7 +408,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         return Model([], 0.0)
     chosen = docs.sparkSession.createDataFrame(picked, known.schema)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return Model([(r["doc_id"], r["text"], r["label"]) for r in texts.select("doc_id", "text", "label").collect()], n[1] / (n[0] + n[1]))
+    made = texts.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(_describe, "id long, words array<string>, n array<long>, sample binary, label int")
+    examples = [(r.id, Counter(dict(zip(r.words, r.n, strict=True))), None if r.sample is None else np.frombuffer(r.sample, np.uint64), r.label) for r in made.toLocalIterator()]
+    return Model(examples, n[1] / (n[0] + n[1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
