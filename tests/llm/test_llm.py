@@ -418,7 +418,7 @@ def test_ranges_hold_all_keys():
 # 7 media
 def test_media(spark):
     df = clashing(docs_of(spark, ODD + ODD[::-1]).drop("media"))
-    got = {r.doc_id: r for r in media.describe(media.store(df)).collect()}
+    got = {r.doc_id: r for r in media.MediaStore.write(media.store(df)).read().collect()}
     feature = {}
     for i, t in enumerate(ODD + ODD[::-1]):
         raw = (t or "").encode()
@@ -428,7 +428,7 @@ def test_media(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_bytes == len(payload) + 44 and r.media_sha256 == hashlib.sha256(media.to_wav(payload)).hexdigest()
         assert feature.setdefault(raw, r.feature) == r.feature
-    assert media.describe(media.store(df.limit(0))).count() == 0
+    assert media.MediaStore.write(media.store(df.limit(0))).read().count() == 0
 
 
 def test_resampling_keeps_a_tone():
@@ -451,13 +451,62 @@ def test_segments_have_hysteresis():
     assert media.segments(np.zeros((5, media.MELS), np.float32)).tolist() == []
 
 
-def test_tensors_are_stored(spark, tmp_path):
+def plain_features(payload):
+    """Resampling, log-mel energies, pooling and segments by plain loops, in doubles."""
+    x = [(b - 128) / 128 for b in payload]
+    n = media.UP * media.TAPS
+    h = [np.sinc((i - (n - 1) / 2) / media.DOWN) * w for i, w in enumerate(np.hanning(n + 2)[1:-1])]
+    h = [v / sum(h) * media.UP for v in h]
+    # zero-stuffed by UP, filtered, every DOWN-th kept
+    y = [sum(h[i] * x[(m * media.DOWN - i) // media.UP] for i in range(n) if (m * media.DOWN - i) % media.UP == 0 and 0 <= (m * media.DOWN - i) // media.UP < len(x)) for m in range(len(x) * media.UP // media.DOWN)]
+    y += [0.0] * max(0, media.FRAME - len(y))
+    window = np.hanning(media.FRAME + 2)[1:-1]
+    mel = []
+    for at in range(0, len(y) - media.FRAME + 1, media.HOP):
+        power = np.abs(np.fft.rfft(np.array(y[at : at + media.FRAME]) * window, media.FFT)) ** 2
+        mel.append([np.log(sum(power[f] * media._BANK[f][k] for f in range(len(power))) + 1e-6) for k in range(media.MELS)])
+    mel = np.array(mel)
+    parts = [k * len(mel) // media.FRAMES for k in range(media.FRAMES + 1)]
+    tensor = np.array([mel[a : max(z, a + 1)].mean(axis=0) for a, z in zip(parts[:-1], parts[1:], strict=True)])
+    energy, on, spans = mel.mean(axis=1), False, []
+    upper, lower = energy.mean() + 0.5 * energy.std(), energy.mean()
+    for i, e in enumerate([*energy, -1e9]):
+        if not on and e > upper:
+            on, begin = True, i
+        elif on and e < lower:
+            on = False
+            spans.append([begin * media.HOP / media.OUT_RATE, i * media.HOP / media.OUT_RATE])
+    return tensor, spans
+
+
+def test_features_equal_a_plain_computation(spark):
+    rng = random.Random(12)
+    texts = ["", "short one", "".join(chr(rng.randrange(32, 127)) for _ in range(1500)), "aaaa" * 200 + "ZZ z!" * 200, "é😀" * 300]
+    store = media.MediaStore.write(media.store(docs_of(spark, texts)))
+    got = {r.doc_id: r for r in store.tensors().collect()}
+    said = {r.doc_id: r.feature for r in store.read().collect()}
+    for i, t in enumerate(texts):
+        tensor, spans = plain_features(media.pad(t.encode()))
+        assert np.array(got[i].tensor).reshape(media.FRAMES, media.MELS) == pytest.approx(tensor, abs=0.02)
+        assert np.array(got[i].spans) == pytest.approx(np.array(spans))
+        level, many, total, _ = said[i].split(":")
+        assert np.abs(np.frombuffer(bytes.fromhex(level), np.int8) / 8 - np.clip(tensor.mean(axis=0), -16, 127 / 8)).max() < 0.1
+        assert int(many) == len(spans) and float(total) == pytest.approx(sum(z - a for a, z in spans), abs=0.006)
+
+
+def test_tensors_are_stored_once(spark, tmp_path):
+    """Files are fixed-shape tensors; those of a doubled task, or of a second run into the folder, are not read twice."""
     df = docs_of(spark, ODD)
-    files = media.write_tensors(media.store(df), f"file://{tmp_path}/t").collect()
-    tables = [pa.ipc.open_file(f"{tmp_path}/t/{r.file}").read_all() for r in files]
-    assert sum(t.num_rows for t in tables) == len(ODD) and tables[0].schema.field("tensor").type.shape == [media.FRAMES, media.MELS]
-    rows = {k: v for t in tables for k, v in zip(t["doc_id"].to_pylist(), np.concatenate([c.to_numpy_ndarray() for c in t["tensor"].chunks] or [np.zeros((0, 1, 1))]), strict=True)}
-    assert np.array_equal(rows[9], media.features(media.pad(ODD[9].encode()))[0].astype(np.float32))
+    folder = f"file://{tmp_path}/t"
+    first = media.MediaStore.write(media.store(df), folder)
+    second = media.MediaStore.write(media.store(df), folder)
+    names = {r.tensors for r in first.files.collect()}
+    assert names and not names & {r.tensors for r in second.files.collect()}
+    (tmp_path / "t" / "0000000-left-behind.tensors.arrow").write_bytes(b"half a file")
+    for store in (first, second):
+        assert sorted(r.doc_id for r in store.read().collect()) == list(range(len(ODD))) and sum(r.rows for r in store.files.collect()) == len(ODD)
+    table = pa.ipc.open_file(f"{tmp_path}/t/{sorted(names)[0]}").read_all()
+    assert table.schema.field("tensor").type.shape == [media.FRAMES, media.MELS]
 
 
 # 8 licences

@@ -2,13 +2,17 @@
 
 Features of a recording: polyphase resampling by UP / DOWN, log-mel energies of overlapped Hann frames, pooled to a
 tensor of fixed shape FRAMES x MELS, and segments by hysteresis on frame energy (begun above the upper threshold,
-ended below the lower one) with their time spans in seconds. write_tensors() stores them as Arrow files with a
-fixed-shape tensor column.
+ended below the lower one) with their time spans in seconds.
+
+MediaStore.write() runs a task for each partition: it writes the recordings to an Arrow file, closes it, reads it back, computes features
+of what it read, and writes them to a second Arrow file: a fixed-shape tensor column (16-bit floats) and a list of time spans for each
+recording. Which files count is a Parquet table that Spark commits, so files of failed or doubled attempts are never
+read; names have the attempt's own part. read() takes columns and features from these files only.
 
 Every recording is computed by itself, so equal payloads have equal features in any batch.
 
 Defined results: null and empty texts are 64 zero bytes; a recording shorter than a frame is padded to one; a silent
-one has no segments; repeated rows, ties and extra columns change nothing; an empty table gives an empty table.
+one has no segments; repeated rows, ties and extra columns change nothing; an empty table gives an empty table; a null key stays null.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, spare
+from .common import documents, new_path, small_batches, spare, stage, trim
 
 RATE, UP, DOWN = 12_000, 2, 3
 OUT_RATE = RATE * UP // DOWN
@@ -120,9 +125,10 @@ def features(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def feature_text(tensor: np.ndarray, spans: np.ndarray) -> str:
-    """The tensor in half dB steps, averaged over time, and number and length of the segments."""
-    level = np.clip(np.rint(tensor.mean(axis=0) * 8), -128, 127).astype(np.int8)
-    return f"{level.tobytes().hex()}:{len(spans)}:{(spans[:, 1] - spans[:, 0]).sum():.2f}"
+    """The tensor's mean over time in steps of 1/8, number and total length of the segments, and a checksum of the whole tensor and all spans."""
+    level = np.clip(np.rint(tensor.astype(np.float32).mean(axis=0) * 8), -128, 127).astype(np.int8)
+    whole = zlib.crc32(np.rint(spans * 1000).astype("<i8").tobytes(), zlib.crc32(tensor.astype("<f2").tobytes()))
+    return f"{level.tobytes().hex()}:{len(spans)}:{(spans[:, 1] - spans[:, 0]).sum():.2f}:{whole:08x}"
 
 
 def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -140,46 +146,98 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     return docs.select(*keep, F.col(text).alias(spare(keep, "_text"))).mapInArrow(run, f"{kinds}, n_bytes long, media binary")
 
 
-def describe(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """keep, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of a media column, read back."""
+_TENSOR = pa.fixed_shape_tensor(pa.float16(), [FRAMES, MELS], dim_names=["time", "mel"])
+_MEDIA_FIELDS = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+_FEATURE_FIELDS = pa.schema([("tensor", _TENSOR), ("spans", pa.list_(pa.list_(pa.float64(), 2)))])
+#: Recordings in a batch of a file.
+BATCH = 200
 
-    def run(batches):
-        for b in batches:
-            media = b.column(len(keep)).to_pylist()
-            payload = list(map(from_wav, media))
-            sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
-            long = lambda xs: pa.array(list(xs), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(keep))), long(map(len, payload)), sha(payload), long(zlib.crc32(x[-PAD:]) for x in payload), long(map(len, media)), sha(media), pa.array([feature_text(*features(x)) for x in payload])],
-                [*keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
 
-    kinds = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in keep)
-    return stored.select(*keep, F.col("media")).mapInArrow(run, f"{kinds}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def _create(fs, path: str, schema: pa.Schema):
+    return pa.ipc.new_file(fs.open_output_stream(path), schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
 
 
-def write_tensors(stored: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """Write Arrow files with key, tensor (fixed shape) and spans into folder (seen by all executors); returns file and rows of each."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS], dim_names=["time", "mel"])
+def _batches(fs, path: str):
+    """The record batches of an Arrow file, one after the other."""
+    with fs.open_input_file(path) as at, pa.ipc.open_file(at) as file:
+        for i in range(file.num_record_batches):
+            yield file.get_batch(i)
 
-    def run(batches):
+
+class MediaStore:
+    """Recordings and their features in Arrow files of a folder that all executors see; `files` says which: part, media, tensors, rows."""
+
+    def __init__(self, folder: str, files: DataFrame):
+        self.folder, self.files = folder, files
+
+    @classmethod
+    def write(cls, stored: DataFrame, folder: str | None = None, key: str = "doc_id") -> MediaStore:
+        """stored has key, n_bytes and media, as from store(); nothing but committed rows of `files` says what is there."""
+        folder = folder or new_path(stored.sparkSession, "media")
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        name, rows = f"tensors-{uuid.uuid4().hex}.arrow", 0
-        schema = pa.schema([(key, pa.int64()), ("tensor", kind), ("spans", pa.list_(pa.list_(pa.float64(), 2)))])
-        with fs.open_output_stream(f"{root}/.{name}") as out, pa.ipc.new_file(out, schema) as to:
+
+        def run(batches):
+            fs, root = pafs.FileSystem.from_uri(folder)
+            part = TaskContext.get().partitionId()
+            name = f"{part:07d}-{uuid.uuid4().hex}"
+            media, tensors, rows = f"{name}.media.arrow", f"{name}.tensors.arrow", 0
+            with _create(fs, f"{root}/{media}", _MEDIA_FIELDS) as to:
+                for b in batches:
+                    for at in range(0, b.num_rows, BATCH):
+                        some = b.slice(at, BATCH)
+                        to.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(some.columns, _MEDIA_FIELDS, strict=True)], schema=_MEDIA_FIELDS))
+                        rows += some.num_rows
+            with _create(fs, f"{root}/{tensors}", _FEATURE_FIELDS) as to:
+                for b in _batches(fs, f"{root}/{media}"):
+                    made = [features(from_wav(x)) for x in b.column("media").to_pylist()]
+                    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack([x[0] for x in made]).astype(np.float16), dim_names=["time", "mel"])
+                    to.write_batch(pa.RecordBatch.from_arrays([tensor, pa.array([x[1].tolist() for x in made], _FEATURE_FIELDS.field("spans").type)], schema=_FEATURE_FIELDS))
+            trim()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([media]), pa.array([tensors]), pa.array([rows], pa.int64())], ["part", "media", "tensors", "rows"])
+
+        files = stored.select(key, "n_bytes", "media").mapInArrow(run, "part int, media string, tensors string, rows long")
+        return cls(folder, stage(files, "media-files"))
+
+    def _read(self, columns: pa.Schema, of, kinds: str) -> DataFrame:
+        """One task for each file of the folder; of(media batch, tensor batch) gives the columns."""
+        folder = self.folder
+
+        def run(batches):
+            fs, root = pafs.FileSystem.from_uri(folder)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                made = [features(from_wav(x)) for x in b.column(1).to_pylist()]
-                tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack([x[0] for x in made]).astype(np.float32), dim_names=["time", "mel"])
-                to.write_batch(pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), tensor, pa.array([x[1].tolist() for x in made], schema.field("spans").type)], schema=schema))
-                rows += b.num_rows
-        fs.move(f"{root}/.{name}", f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64())], ["file", "rows"])
+                for media, tensors in zip(b.column("media").to_pylist(), b.column("tensors").to_pylist(), strict=True):
+                    for m, t in zip(_batches(fs, f"{root}/{media}"), _batches(fs, f"{root}/{tensors}"), strict=True):
+                        yield pa.RecordBatch.from_arrays(of(m, t), columns)
+            trim()
+
+        # one row for each task that wrote
+        parts = max(1, (self.files.agg(F.max("part")).head()[0] or 0) + 1)
+        return self.files.select("part", "media", "tensors").repartitionById(parts, F.col("part")).mapInArrow(run, kinds)
+
+    def read(self, key: str = "doc_id") -> DataFrame:
+        """key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every recording."""
+
+        def of(m: pa.RecordBatch, t: pa.RecordBatch) -> list[pa.Array]:
+            media = m.column("media").to_pylist()
+            payload = list(map(from_wav, media))
+            sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
+            long = lambda xs: pa.array(list(xs), pa.int64())
+            feature = [feature_text(x, np.array(y).reshape(-1, 2)) for x, y in zip(t.column("tensor").to_numpy_ndarray(), t.column("spans").to_pylist(), strict=True)]
+            return [m.column("key"), m.column("n_bytes"), long(map(len, payload)), sha(payload), long(zlib.crc32(x[-PAD:]) for x in payload), long(map(len, media)), sha(media), pa.array(feature, pa.string())]
+
+        names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        return self._read(names, of, f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+    def tensors(self, key: str = "doc_id") -> DataFrame:
+        """key, tensor (FRAMES * MELS numbers, time by time) and spans (begin and end in seconds) of every recording."""
+
+        def of(m: pa.RecordBatch, t: pa.RecordBatch) -> list[pa.Array]:
+            flat = t.column("tensor").to_numpy_ndarray().reshape(m.num_rows, -1).astype(np.float32)
+            return [m.column("key"), pa.array(list(flat), pa.list_(pa.float32())), t.column("spans").cast(pa.list_(pa.list_(pa.float64())))]
 
-    return stored.select(key, "media").mapInArrow(run, "file string, rows long")
+        return self._read([key, "tensor", "spans"], of, f"`{key}` long, tensor array<float>, spans array<array<double>>")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(store(documents(spark, sf_dir)))
+    return MediaStore.write(store(documents(spark, sf_dir))).read()
