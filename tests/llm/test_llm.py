@@ -140,6 +140,16 @@ def test_token_store_repeats_null_and_empty(spark):
     got = tokenstore.TokenStore.write(df, path).lookup(df).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 1, 5, 5, 5] and [r.start for r in got] == [0, got[0].n_tokens, got[0].n_tokens + 1, got[0].n_tokens + 3, got[0].n_tokens + 5]
     none = tokenstore.TokenStore.write(df.limit(0), path)
+    # a key of many rows lies in several shards
+    n = 3000
+    hot = docs_of(spark, [f"text {i % 50} t{i % 7}" for i in range(n)], [None if i % 3 == 0 else 9 if i % 3 == 1 else i for i in range(n)])
+    store = tokenstore.TokenStore.write(hot, path)
+    rows = store.lookup(hot).orderBy("start").collect()
+    ids = [r.doc_id for r in rows]
+    assert len(rows) == n and ids == sorted(ids, key=lambda x: (x is not None, x or 0)) and len(set(store.bounds)) < len(store.bounds)
+    assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
+    whole = {r.start: (r.n_tokens, r.ids_crc32) for r in rows}
+    assert {r.start: (r.n_tokens, r.ids_crc32) for r in store.lookup(hot.filter("doc_id is null or doc_id = 9").limit(1)).collect()}.items() <= whole.items()
     assert none.lookup(df).count() == 0 and none.lookup(df.limit(0)).count() == 0
 
 
@@ -413,6 +423,10 @@ def test_fingerprints_odd_tables(spark):
 def test_ranges_hold_all_keys():
     keys = pa.array([None, -5, 0, 7, 10**12], pa.int64())
     assert ranges.range_of(keys, np.array([0, 8])).tolist() == [0, 0, 1, 1, 2]
+    bounds = np.array([-(1 << 63), -(1 << 63), 7, 7, 7, 9])
+    first, many = ranges.ranges_of(keys, bounds)
+    assert list(zip(first.tolist(), many.tolist(), strict=True)) == [(1, 2), (2, 1), (2, 1), (3, 3), (6, 1)]
+    assert ranges.range_of(keys, bounds, np.array([0, 5, 5, 1, 5])).tolist() == [1, 2, 2, 4, 6]
 
 
 # 7 media

@@ -103,11 +103,12 @@ def edited(text: str, following: str) -> str:
 def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt by ranges of ids in descending order; each range ends with a copy of the row that follows it (carried = true).
 
-    The row after the last is the first. Texts are shuffled once; only one row a range is doubled.
+    The row after the last is the first. Texts are shuffled once; only one row a range is doubled. There are ranges.MOST_RANGES
+    ranges at most; rows of one id lie in one.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = range_bounds(rows, "doc_id", 512, 16_384)
+    bounds = np.unique(range_bounds(rows, "doc_id", 512, 16_384))
 
     def placed(batches):
         for b in batches:

@@ -4,14 +4,18 @@ write() encodes whole texts, deals them by ranges of the document key, and each
 all id payloads in ascending key order, row offsets, then an index. The index is a minimal perfect hash
 (levels of bit arrays; a key's slot is the rank of its bit), and each slot holds a stored fingerprint of its
 key with the first row and the number of rows of that key. A lookup costs a few hash probes, however many
-keys a shard has; a foreign key is refused by its fingerprint.
+keys a shard has; a foreign key is refused by its fingerprint, but for one in 2**32. Rows of a null key lie first and are
+found by their number. A key of very many rows lies in several shards, by its ids.
 
-lookup() finds rows by key through that index and reads only their payload.
+There are ranges.MOST_RANGES shards at most, so from about a thousand million rows on shards grow with the table; a
+task holds some 50 bytes a row of its shard, and reads and writes payloads piece by piece.
+
+lookup() loads a shard's index once, finds rows by key through it, and reads the payloads of runs of adjacent rows.
 
 Files are written under a name of the task's own and then renamed, so a retried or doubled task does no harm.
 
 Defined results: null text is empty (only the end id); a null key sorts first and is a key like others;
-repeated keys keep all their rows, in one run; an empty table makes a store without shards; other columns
+repeated keys keep all their rows; an empty table makes a store without shards; other columns
 of the input are not read.
 """
 
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, new_path, small_batches
-from .ranges import range_bounds, range_of, runs
+from .ranges import range_bounds, range_of, ranges_of, runs
 from .wordhash import mix
 
 END_ID = 1
@@ -38,8 +42,9 @@ END_ID = 1
 LEAST_ROWS, MOST_ROWS = 512, 65_536
 #: Words that a worker remembers.
 CACHE_WORDS = 800_000
-MAGIC, FOOTER = b"WKTS0001", struct.Struct("<QQQQQQQQ8s")
-_NULL_KEY = 0x5851F42D4C957F2D
+MAGIC, FOOTER = b"WKTS0002", struct.Struct("<QQQQQQQQQ8s")
+#: Bytes of payload that are read at once, where one row has no more.
+READ_BYTES = 4 << 20
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -126,11 +131,13 @@ def encoder(path: str) -> WordEncoder:
 
 
 def key_hash(keys: pa.Array) -> np.ndarray:
+    """A one-to-one map of keys that aren't null to 64-bit numbers."""
     ids = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    out = mix(mix(ids + np.uint64(0x9E3779B97F4A7C15)))
-    if keys.null_count:
-        out[keys.is_null().to_numpy(zero_copy_only=False)] = _NULL_KEY
-    return out
+    return mix(mix(ids + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def is_null(keys: pa.Array) -> np.ndarray:
+    return keys.is_null().to_numpy(zero_copy_only=False)
 
 
 class PerfectHash:
@@ -180,29 +187,30 @@ class PerfectHash:
 
 
 def _write_shard(folder: str, shard: int, rows) -> tuple[int, int]:
-    """rows: (hash array, list of id bytes) batches in key order. Returns the numbers of rows and ids."""
+    """rows: (keys, list of id bytes, bytes of an id) batches in key order, nulls first. Returns the numbers of rows and ids."""
     fs, root = pafs.FileSystem.from_uri(folder)
     tmp = f"{root}/.{shard:07d}-{uuid.uuid4().hex}"
-    hashes, lengths, width = [], [], 0
+    hashes, lengths, width, nulls = [np.zeros(0, np.uint64)], [], 0, 0
     with fs.open_output_stream(tmp) as out:
-        for h, ids, width in rows:
-            hashes.append(h)
-            lengths.append(np.array([len(x) for x in ids], np.int64) // width)
+        for x, ids, width in rows:
+            nulls += x.null_count
+            hashes.append(key_hash(x)[~is_null(x)])
+            lengths.append(np.array([len(i) for i in ids], np.int64) // width)
             out.write(b"".join(ids))
         h, offsets = np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(h)))
         keys = h[first]
         found = PerfectHash.build(keys)
         slot = found.slots(keys)
         prints, at, many = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
-        prints[slot], at[slot], many[slot] = (keys >> np.uint64(32)).astype("<u4"), first, count
+        prints[slot], at[slot], many[slot] = (keys >> np.uint64(32)).astype("<u4"), first + nulls, count
         parts = [offsets, found.sizes.astype("<i8"), found.bits.astype("<u8"), prints, at, many]
         for x in parts:
             out.write(x.tobytes())
-        out.write(FOOTER.pack(width, *(x.nbytes for x in parts), int(offsets[-1]), MAGIC))
+        out.write(FOOTER.pack(width, nulls, *(x.nbytes for x in parts), int(offsets[-1]), MAGIC))
     fs.move(tmp, f"{root}/shard-{shard:07d}.ids")
-    return len(h), int(offsets[-1])
+    return len(offsets) - 1, int(offsets[-1])
 
 
 class Shard:
@@ -212,7 +220,7 @@ class Shard:
         fs, root = pafs.FileSystem.from_uri(folder)
         self.file = fs.open_input_file(f"{root}/shard-{shard:07d}.ids")
         end = self.file.size()
-        self.width, *sizes, self.n_ids, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, end - FOOTER.size))
+        self.width, self.nulls, *sizes, self.n_ids, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, end - FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"shard {shard} of {folder} is not complete")
         at, parts = self.n_ids * self.width, []
@@ -222,17 +230,32 @@ class Shard:
         self.offsets, levels, bits, self.prints, self.first, self.many = parts
         self.hash = PerfectHash(levels, bits)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The first row and the number of rows of each key; 0 rows where it is not in the shard."""
+        hashes = key_hash(keys)
         slot = self.hash.slots(hashes)
-        there = (slot >= 0) & (self.prints[slot] == (hashes >> np.uint64(32)).astype(np.uint32)) if len(self.prints) else slot >= 0
-        return np.where(there, self.first[slot], 0).astype(np.int64), np.where(there, self.many[slot], 0).astype(np.int64)
+        there = (slot >= 0) & (self.prints[slot] == (hashes >> np.uint64(32)).astype(np.uint32)) if len(self.prints) else np.zeros(len(keys), bool)
+        first, many = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        first[there], many[there] = self.first[slot[there]], self.many[slot[there]]
+        null = is_null(keys)
+        first[null], many[null] = 0, self.nulls
+        return first, many
 
     def ids(self, row: int, to: int) -> np.ndarray:
         """The ids of rows row to to - 1, as one array."""
         a, b = int(self.offsets[row]), int(self.offsets[to])
         return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}")
 
+    def pieces(self, rows: np.ndarray):
+        """Ranges of `rows` (ascending) that are adjacent rows of READ_BYTES together, or a single row."""
+        at = 0
+        while at < len(rows):
+            to = at + 1
+            while to < len(rows) and rows[to] == rows[to - 1] + 1 and (self.offsets[rows[to] + 1] - self.offsets[rows[at]]) * self.width <= READ_BYTES:
+                to += 1
+            yield at, to
+            at = to
+
 
 class TokenStore:
     """A written store: folder, range bounds of its shards, and where each shard's ids begin in the whole."""
@@ -266,12 +289,12 @@ class TokenStore:
             for b in batches:
                 ids = [x + end for x in run.encode(b.column(1).to_pylist())]
                 keys = b.column(0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(range_of(keys, cut), pa.int32()), keys, pa.array(ids, pa.binary())], ["shard", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(range_of(keys, cut, np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))), pa.int32()), keys, pa.array(ids, pa.binary())], ["shard", "key", "ids"])
 
         def written(batches):
             width = encoder(tokenizer).dtype.itemsize
             for shard, parts in runs(batches, "shard"):
-                rows, ids = _write_shard(folder, shard, ((key_hash(b.column("key")), b.column("ids").to_pylist(), width) for b in parts))
+                rows, ids = _write_shard(folder, shard, ((b.column("key"), b.column("ids").to_pylist(), width) for b in parts))
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([rows], pa.int64()), pa.array([ids], pa.int64())], ["shard", "n_rows", "n_ids"])
 
         ids = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encoded, "shard int, key long, ids binary")
@@ -291,35 +314,40 @@ class TokenStore:
         def placed(batches):
             for b in batches:
                 x = b.column(0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(range_of(x, cut), pa.int32()), x], ["shard", "key"])
+                first, many = ranges_of(x, cut)
+                at = np.repeat(np.arange(len(x)), many)
+                shard = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), x.take(pa.array(at))], ["shard", "key"])
 
         def read(batches):
             for shard, parts in runs(batches, "shard"):
                 if shard not in starts:
                     continue
-                file, last = Shard(folder, shard), None
+                file, last = Shard(folder, shard), ()
                 for b in parts:
                     x = b.column("key")
-                    h = key_hash(x)
-                    new = np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])
-                    last = h[-1]
-                    first, many = file.find(h[new])
-                    which = np.repeat(np.flatnonzero(new), many)
-                    if not len(which):
-                        continue
+                    value, null = x.fill_null(0).to_numpy(zero_copy_only=False), is_null(x)
+                    new = np.ones(len(x), bool)
+                    new[1:] = (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+                    new[0] = last != (value[0], null[0])
+                    last = value[-1], null[-1]
+                    x = x.filter(pa.array(new))
+                    first, many = file.find(x)
+                    which = np.repeat(np.arange(len(x)), many)
                     rows = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(which))
-                    lo = int(rows.min())
-                    ids = file.ids(lo, int(rows.max()) + 1).astype("<u4")
-                    at = file.offsets[rows] - file.offsets[lo]
-                    n = file.offsets[rows + 1] - file.offsets[rows]
-                    raw = memoryview(ids).cast("B")
-                    cols = [
-                        x.take(pa.array(which)), pa.array(starts[shard] + file.offsets[rows]), pa.array(n),
-                        pa.array([zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist(), strict=True)], pa.int64()),
-                    ]
-                    if payload:
-                        cols.append(pa.array([ids[a : a + k].astype(np.int32).tolist() for a, k in zip(at, n, strict=True)], pa.list_(pa.int32())))
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+                    for a, z in file.pieces(rows):
+                        some = rows[a:z]
+                        ids = file.ids(int(some[0]), int(some[-1]) + 1).astype("<u4")
+                        at = file.offsets[some] - file.offsets[some[0]]
+                        n = file.offsets[some + 1] - file.offsets[some]
+                        raw = memoryview(ids).cast("B")
+                        cols = [
+                            x.take(pa.array(which[a:z])), pa.array(starts[shard] + file.offsets[some]), pa.array(n),
+                            pa.array([zlib.crc32(raw[4 * i : 4 * (i + k)]) for i, k in zip(at.tolist(), n.tolist(), strict=True)], pa.int64()),
+                        ]
+                        if payload:
+                            cols.append(pa.array([ids[i : i + k].astype(np.int32) for i, k in zip(at, n, strict=True)], pa.list_(pa.int32())))
+                        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
         dealt = keys.select(F.col(key).alias("key")).mapInArrow(placed, "shard int, key long")
         dealt = dealt.repartitionById(len(self.bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_first())
