@@ -339,6 +339,15 @@ def test_counts_equal_the_library(spark, monkeypatch):
     monkeypatch.setattr(counts, "MAX_STATES", 200)  # the table starts anew again and again
     fresh = counts.Counter(path)
     assert fresh.count(texts).tolist() == want
+    monkeypatch.setattr(counts, "MAX_STATES", 60_000)
+    rng = random.Random(7)
+    long = ["".join(rng.choice("abcdeot") for _ in range(20_000)), "a" * 12_345, "the" * 5000, "é" * 6000, "ab" * 3000 + "c", "-" * 9999, "x" * 4097, " ".join("z" * k for k in (4096, 4097, 8192, 1))]
+    sizes = [len(lib.encode(t, add_special_tokens=False).ids) for t in long]
+    assert counts.Counter(path).count(long).tolist() == sizes
+    for step, warm in ((7, 0), (64, 3), (1000, 16)):  # guesses that are wrong are asked for again
+        monkeypatch.setattr(counts, "STEP", step)
+        monkeypatch.setattr(counts, "WARM", warm)
+        assert counts.Counter(path).count(long[1:]).tolist() == sizes[1:]
     df = clashing(docs_of(spark, ODD).drop("n"))
     got = {r.doc_id: r for r in counts.token_counts(df, path).collect()}
     for i, t in enumerate(ODD):

@@ -11,8 +11,11 @@ Two deterministic machines, both of which annotate transitions with counts of to
   relative to now. A transition carries the change of the count, 1 - (tokens undone by the merge).
 
 States are compiled when first reached, as there are far too many to list beforehand; when MAX_STATES are held, the
-table starts anew, so memory is bounded. All new pieces of a batch run through it side by side, byte by byte;
-counts of short pieces are remembered by piece.
+table starts anew, so memory is bounded. All new pieces of a batch run through it side by side; pieces of over LONG bytes are cut into chunks.
+A chunk's map gives the state after it and its count for states before it. It is known where it is asked for: first for the state
+that the WARM bytes before the chunk lead to from the start, then for the states in which the chunk before ends. Maps of adjacent chunks
+compose two and two, in a tree, until one map has the whole piece. So a long piece takes about as many steps as a
+chunk has bytes. Counts of short pieces are remembered by piece.
 
 Special strings of the tokenizer file split a text and count one each, as the library does by default.
 
@@ -39,6 +42,9 @@ MAX_STATES = 60_000
 ROWS, CHUNK = 1000, 1 << 20
 #: Pieces that a worker remembers.
 CACHE_PIECES = 400_000
+#: Bytes from which a piece is cut, of a chunk, and before a chunk that tell the likeliest state before it.
+LONG, STEP, WARM = 4096, 1024, 128
+_START = (b"", (-1,), (0,))
 _loaded: dict[str, Counter] = {}
 
 
@@ -64,7 +70,7 @@ class MergeMachine:
         self.states: list[tuple] = []
         self.next = np.full((1024, 256), -1, np.int32)
         self.gain = np.zeros((1024, 256), np.int16)
-        self._state((b"", (-1,), (0,)))
+        self._state(_START)
 
     def _state(self, name: tuple) -> int:
         found = self.names.get(name)
@@ -112,16 +118,15 @@ class MergeMachine:
         self.next[state, byte] = self._state(name)
         self.gain[state, byte] = gain
 
-    def count(self, found: list[bytes]) -> np.ndarray:
-        """Tokens of each byte string."""
-        out = np.zeros(len(found), np.int64)
+    def walk(self, found: list[bytes], names: list[tuple]) -> tuple[list[tuple], np.ndarray]:
+        """The states after byte strings, and their counts; names has the state before each."""
+        total = np.zeros(len(found), np.int64)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         order = np.argsort(-lengths, kind="stable")
         data = np.frombuffer(b"".join(found), np.uint8)
         begin = (np.cumsum(lengths) - lengths)[order]
         sizes = lengths[order]
-        state, total = np.zeros(len(found), np.int32), np.zeros(len(found), np.int64)
-        names = None
+        state = np.array([self._state(names[i]) for i in order], np.int32)
         for k in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -k))  # those longer than k
             byte = data[begin[:live] + k]
@@ -136,13 +141,49 @@ class MergeMachine:
             if len(self.states) > MAX_STATES:
                 # keep only the states that strings are in now
                 used, place = np.unique(state, return_inverse=True)
-                names = [self.states[s] for s in used.tolist()]
+                held = [self.states[s] for s in used.tolist()]
                 self.clear()
-                state = np.array([self._state(x) for x in names], np.int32)[place]
+                state = np.array([self._state(x) for x in held], np.int32)[place]
+        out, ends = np.zeros(len(found), np.int64), [_START] * len(found)
         out[order] = total
+        for i, s in zip(order.tolist(), state.tolist(), strict=True):
+            ends[i] = self.states[s]
+        return ends, out
+
+    def count(self, found: list[bytes]) -> np.ndarray:
+        """Tokens of each byte string."""
+        cut = [i for i, x in enumerate(found) if len(x) > LONG]
+        starts = [(i, at) for i in cut for at in range(0, len(found[i]), STEP)]
+        guess, _ = self.walk([found[i][max(0, at - WARM) : at] for i, at in starts], [_START] * len(starts))
+        whole = [x if len(x) <= LONG else b"" for x in found]
+        chunks = [found[i][at : at + STEP] for i, at in starts]
+        ends, gains = self.walk(whole + chunks, [_START] * len(whole) + guess)
+        out = gains[: len(whole)]
+        maps = [{a: (z, n)} for a, z, n in zip(guess, ends[len(whole) :], gains[len(whole) :].tolist(), strict=True)]
+        first = {i: k for k, (i, at) in reversed(list(enumerate(starts))) if not at}
+        open_ = set(cut)
+        while open_:
+            for i in list(open_):
+                size = -(-len(found[i]) // STEP)
+                if (made := composed(maps[first[i] : first[i] + size]).get(_START)) is not None:
+                    out[i] = made[1]
+                    open_.discard(i)
+            # states in which chunks end, that the map of the next doesn't have yet
+            asked = [(k, z) for k in range(1, len(maps)) if starts[k][0] in open_ and starts[k][1] for z in {z for z, _ in maps[k - 1].values()} if z not in maps[k]]
+            ends, gains = self.walk([chunks[k] for k, _ in asked], [z for _, z in asked])
+            for (k, a), z, n in zip(asked, ends, gains.tolist(), strict=True):
+                maps[k][a] = z, n
         return out
 
 
+def composed(maps: list[dict[tuple, tuple[tuple, int]]]) -> dict[tuple, tuple[tuple, int]]:
+    """The map of adjacent chunks, from each chunk's: state before to (state after, count), where all of them have it."""
+    while len(maps) > 1:
+        pairs = [{a: (g[z][0], n + g[z][1]) for a, (z, n) in f.items() if z in g} for f, g in zip(maps[::2], maps[1::2], strict=False)]
+        maps = pairs + maps[len(pairs) * 2 :]
+    return maps[0]
+
+
 class Counter:
     """Counts as the tokenizers library has them for a byte-level BPE file."""
 
