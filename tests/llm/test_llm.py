@@ -266,7 +266,6 @@ def test_shared_passages_and_hubs_in_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
-    monkeypatch.setattr(graph, "HOT_ROWS", 5)
     rng = random.Random(6)
     passage = " ".join(f"p{rng.randrange(9000)}" for _ in range(90))
     texts = [f"{passage} " + " ".join(f"q{rng.randrange(9000)}" for _ in range(18 + i % 9)) for i in range(60)]

@@ -1,6 +1,7 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and one join; nothing is gathered on the driver but two numbers a round.
+Each step is a grouped minimum and one join; nothing is gathered on the driver but two numbers a round. Rows are two numbers wide; a node
+of very many edges is left to Spark's splitting of skewed joins.
 Every round's edges are a staged table, so that lineage stays short and lost executors are no matter.
 """
 
@@ -9,35 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, HOT_ROWS, stage
+from .common import stage
 
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
 
 
-def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """rows(u, v) with the m that least(w, c, m) has for u. Rows of hot nodes (HOT_KEYS of them at most, as each has over
-    n / HOT_KEYS of the n rows) meet it where they are."""
-    hot = least.filter(F.col("c") > max(HOT_ROWS, n // HOT_KEYS)).select(F.col("w").alias("hot"), F.col("m").alias("m_hot"))
-    rows = rows.join(F.broadcast(hot), F.col("u") == F.col("hot"), "left")
-    cool = rows.filter("hot is null").select("u", "v").join(least.filter(F.col("c") <= max(HOT_ROWS, n // HOT_KEYS)), F.col("u") == F.col("w")).select("u", "v", "m")
-    return rows.filter("hot is not null").select("u", "v", F.col("m_hot").alias("m")).union(cool)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) of every node in edges(u, v); other nodes are not listed."""
     e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    before = _digest(e)
+    before = None
     for _ in range(rounds):
-        n = 2 * before[0]
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.count("*").alias("c"), F.min("v").alias("m")).select(F.col("u").alias("w"), "c", F.least("u", "m").alias("m"))
-        large = _with_least(both.filter("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # now every edge leads from a larger to a smaller node
-        least = large.groupBy("u").agg(F.count("*").alias("c"), F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = _with_least(large, least, n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small.union(least.select("w", "m")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _digest(e)
         if now == before:
             break

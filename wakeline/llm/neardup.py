@@ -216,17 +216,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = with_ids(texts, "doc_id", ids.select("id")).mapInArrow(_sets(size), "id long, items array<long>")
     sets = stage(sets.dropDuplicates(["id", "items"]) if repeated else sets, "near-sets")
 
-    def linked(pairs: DataFrame, sketched: bool) -> DataFrame:
-        """Pairs (u, v) that are linked: by sizes and sketches (where that isn't known), and by full sets."""
-        pairs = stage(pairs.distinct(), "near-pairs")
+    def linked(pairs: DataFrame, star: bool) -> DataFrame:
+        """Pairs (u, v) that are linked: by sizes and sketches (where that isn't known), and by full sets. In stars only v is in many pairs."""
+        pairs = stage(pairs, "near-pairs")
         n = pairs.count()
-        hot = {side: stage(hottest(pairs, side, n), "near-hot") for side in ("u", "v")}
-        if not sketched:
-            for side, other in (("u", "v"), ("v", "u")):
-                pairs = _met(pairs, hot[side], side, other, light.select("id", F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")))
-            pairs = pairs.filter(_alike(percent, scheme, ("n_u", "n_v"), ("s_u", "s_v"))).select("u", "v").distinct()
-        for side, other in (("u", "v"), ("v", "u")):
-            pairs = _met(pairs, hot[side], side, other, sets.withColumnRenamed("items", f"i_{side}"))
+
+        def met(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
+            if star and side == "u":
+                return pairs.join(table, F.col("u") == F.col("id")).drop("id")
+            return _met(pairs, hottest(pairs, side, n), side, "v" if side == "u" else "u", table)
+
+        if star:
+            for side in ("u", "v"):
+                pairs = met(pairs, side, light.select("id", F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")))
+            pairs = stage(pairs.filter(_alike(percent, scheme, ("n_u", "n_v"), ("s_u", "s_v"))).select("u", "v").distinct(), "near-pairs")
+        for side in ("u", "v"):
+            pairs = met(pairs, side, sets.withColumnRenamed("items", f"i_{side}"))
         common = F.size(F.array_intersect("i_u", "i_v"))
         return pairs.filter(100 * common >= percent * (F.size("i_u") + F.size("i_v") - common)).select("u", "v")
 
@@ -245,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tops = tops.select(F.col("key").alias("k"), "top", "of", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
             rest = known.withColumn("part", part).join(tops, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).filter("component <> of")
             chosen = rest.groupBy("id").agg(F.max("top").alias("top")).select("id", F.col("top.id").alias("hub"))
-            pairs = chosen.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+            pairs = chosen.select(F.col("id").alias("u"), F.col("hub").alias("v"))
         else:
             mixed = known.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("c_all")).filter("parts > 1")
             mixed = mixed.select(F.col("key").alias("k"), F.col("m.component").alias("largest"), F.ceil(F.col("c_all") / BLOCK).cast("int").alias("blocks"))
@@ -255,10 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # two rows outside the largest component meet twice; a pair of several common buckets counts in the least
             once = ((F.col("component") == F.col("largest")) | (F.col("id") < F.col("l"))) & (F.col("key") == F.array_min(F.array_intersect("keys", "keys_l")))
             on = (F.col("key") == F.col("k_l")) & (F.col("block") == F.col("b_l")) & (F.col("component") != F.col("c_l"))
-            pairs = rows.join(left, on & _alike(percent, scheme, ("n", "n_l"), ("sketch", "s_l")) & once).select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v"))
-        found = linked(pairs, sketched=turn == HUB_ROUNDS)
+            pairs = rows.join(left, on & _alike(percent, scheme, ("n", "n_l"), ("sketch", "s_l")) & once).select(F.col("l").alias("u"), F.col("id").alias("v"))
+        found = stage(linked(pairs, star=turn < HUB_ROUNDS), "near-links")
         links = found if links is None else links.union(found)
-        links = stage(links, "near-links")
         grouped = stage(components(links), "near-components")
         labels = nodes.join(grouped, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
     named = copies.join(labels, F.col("rep") == F.col("id"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("component_id"))
