@@ -232,6 +232,16 @@ def test_links_of_small_sets(spark):
     assert all(got[i] == i - i % 2 for i in range(len(texts)))
 
 
+def test_parities_count_differing_shingles_at_most():
+    """An XOR of odd sketches of whole sets never has more bits than the sets have shingles apart."""
+    rng = np.random.default_rng(2)
+    for n, off in [(1, 0), (30, 5), (400, 90), (5000, 1200)]:
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[off:], rng.integers(0, 2**63, off).astype(np.uint64)])
+        x, y = (neardup.parities(wordhash.mix(v) % np.uint64(2048), np.zeros(n, np.int64), 1).view(np.uint64) for v in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= 2 * off
+
+
 def test_samples_fill_empty_bins_alike():
     """Few or many occupied bins: the first occupied one in a bin's order gives its sample."""
     rng = np.random.default_rng(3)

@@ -17,8 +17,9 @@ in 186 bits on average with a deviation of 19 at most (measured for unions of 5
 that is the bound, which is passed with a probability below 1e-14. Under SURE shingles a few samples in the same bin move the
 count by more than that, so there the sketch isn't asked.
 
-What stays quadratic: texts of more than one component that share a passage of most of their words, so that they meet in buckets
-but aren't linked, are compared pair by pair (by size and sketch inside the join, in blocks of BLOCK rows).
+Texts that share most of their words meet in buckets without being linked. So a pair of what is left in buckets is also held
+against an odd sketch of its whole sets, one bit toggled for each shingle: every bit of the XOR stands for a shingle that one set
+only has, so a pair with more bits than a linked pair has such shingles is refused for certain, without reading sets.
 
 Defined results: words are runs of bytes other than 0x20, 0x09-0x0D after lower-casing A-Z; a text of fewer
 words than the shingle size is one shingle; a text without words, or null, has an empty set, is linked with
@@ -116,14 +117,19 @@ def bands(sampled: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(sampled: np.ndarray) -> np.ndarray:
-    """The odd sketch of each row: SKETCH_WORDS words of parities."""
-    n, bits = len(sampled), 64 * SKETCH_WORDS
-    at = (mix(sampled ^ mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(0x3C79AC492BA7B653))) % np.uint64(bits)).astype(np.int64)
-    odd = np.bincount((at + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits).astype(np.uint8) & 1
+def parities(bit: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """SKETCH_WORDS words for each of n rows: whether a bit is toggled an odd number of times in its row."""
+    bits = 64 * SKETCH_WORDS
+    odd = np.bincount(bit.astype(np.int64) + row * bits, minlength=n * bits).astype(np.uint8) & 1
     return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<i8")
 
 
+def sketches(sampled: np.ndarray) -> np.ndarray:
+    """The odd sketch of each row of samples."""
+    at = mix(sampled ^ mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(0x3C79AC492BA7B653))) % np.uint64(64 * SKETCH_WORDS)
+    return parities(at.ravel(), np.repeat(np.arange(len(sampled)), SAMPLES), len(sampled))
+
+
 def _odd_bound(percent: int) -> int:
     """The largest XOR population count of a linked pair: the expected one at the threshold, and SPREAD deviations."""
     bits = 64 * SKETCH_WORDS
@@ -167,18 +173,30 @@ def _sets(size: int):
         for b in batches:
             data, bounds = utf8(b.column(1))
             made, cuts = shingles(*words(data, bounds), size)
-            each = [np.unique(made[a:z]).view(np.int64) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            each = [np.unique(made[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64)))], ["id", "items"])
+            items = np.concatenate(each) if each else np.zeros(0, np.uint64)
+            whole = parities(mix(items + np.uint64(0x94D049BB133111EB)) % np.uint64(64 * SKETCH_WORDS), np.repeat(np.arange(len(each)), np.diff(ends)), len(each))
+            lists = lambda x, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(items, ends), lists(whole, np.arange(len(each) + 1) * SKETCH_WORDS)], ["id", "items", "whole"])
         trim()
 
     return run
 
 
+def _words(sketch: str, prefix: str) -> list[Column]:
+    """A sketch as columns, which Spark compiles to far less code than an array's elements."""
+    return [F.coalesce(F.col(sketch)[i], F.lit(0)).alias(f"{prefix}{i}") for i in range(SKETCH_WORDS)]
+
+
+def _unlike(a: str, b: str) -> Column:
+    """Population count of the XOR of two sketches, which are columns with these prefixes."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+
+
 def _alike(percent: int, scheme: Scheme, n: tuple[str, str], sketch: tuple[str, str]) -> Column:
     """Sizes and sketches allow a link."""
-    bits = sum((F.bit_count(F.col(sketch[0])[i].bitwiseXOR(F.col(sketch[1])[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    return (100 * F.least(*n) >= percent * F.greatest(*n)) & ((F.least(*n) < scheme.sure) | (bits <= scheme.bound(percent)))
+    return (100 * F.least(*n) >= percent * F.greatest(*n)) & ((F.least(*n) < scheme.sure) | (_unlike(*sketch) <= scheme.bound(percent)))
 
 
 def _met(pairs: DataFrame, hot: DataFrame, side: str, other: str, table: DataFrame) -> DataFrame:
@@ -213,8 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # how many rows an id meets in its buckets, and these buckets
     ids = stage(members.groupBy("id").agg(F.sum("c").alias("central"), F.collect_set("key").alias("keys")), "near-ids")
     light = stage(every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").filter("size(sketch) > 0").join(ids.select("id", "keys"), "id").dropDuplicates(["id", "n", "sketch"]), "near-sketches")
-    sets = with_ids(texts, "doc_id", ids.select("id")).mapInArrow(_sets(size), "id long, items array<long>")
-    sets = stage(sets.dropDuplicates(["id", "items"]) if repeated else sets, "near-sets")
+    sets = with_ids(texts, "doc_id", ids.select("id")).mapInArrow(_sets(size), "id long, items array<long>, whole array<long>")
+    sets = stage(sets.dropDuplicates(["id", "items"]) if repeated else sets, "near-sets")  # whole goes with items
 
     def linked(pairs: DataFrame, star: bool) -> DataFrame:
         """Pairs (u, v) that are linked: by sizes and sketches (where that isn't known), and by full sets. In stars only v is in many pairs."""
@@ -228,10 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         if star:
             for side in ("u", "v"):
-                pairs = met(pairs, side, light.select("id", F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")))
+                pairs = met(pairs, side, light.select("id", F.col("n").alias(f"n_{side}"), *_words("sketch", f"s_{side}")))
             pairs = stage(pairs.filter(_alike(percent, scheme, ("n_u", "n_v"), ("s_u", "s_v"))).select("u", "v").distinct(), "near-pairs")
         for side in ("u", "v"):
-            pairs = met(pairs, side, sets.withColumnRenamed("items", f"i_{side}"))
+            pairs = met(pairs, side, sets.select("id", F.col("items").alias(f"i_{side}")))
         common = F.size(F.array_intersect("i_u", "i_v"))
         return pairs.filter(100 * common >= percent * (F.size("i_u") + F.size("i_v") - common)).select("u", "v")
 
@@ -254,13 +272,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             mixed = known.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("c_all")).filter("parts > 1")
             mixed = mixed.select(F.col("key").alias("k"), F.col("m.component").alias("largest"), F.ceil(F.col("c_all") / BLOCK).cast("int").alias("blocks"))
-            open_ = stage(known.join(mixed, F.col("key") == F.col("k")).select("key", "id", "component", "largest", "blocks").join(light, "id"), "near-open")
-            left = open_.filter("component <> largest").select(F.col("key").alias("k_l"), F.col("id").alias("l"), F.col("component").alias("c_l"), F.col("n").alias("n_l"), F.col("sketch").alias("s_l"), F.col("keys").alias("keys_l"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b_l"))
-            rows = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            open_ = stage(known.join(mixed, F.col("key") == F.col("k")).select("key", "id", "component", "largest", "blocks").join(light, "id").join(sets.select("id", "whole"), "id"), "near-open")
+            left = open_.filter("component <> largest").select(F.col("key").alias("k_l"), F.col("id").alias("l"), F.col("component").alias("c_l"), F.col("n").alias("n_l"), *_words("whole", "w_l"), *_words("sketch", "s_l"), F.col("keys").alias("keys_l"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b_l"))
+            rows = open_.select("key", "id", "component", "largest", "n", "keys", *_words("whole", "w_"), *_words("sketch", "s_"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
             # two rows outside the largest component meet twice; a pair of several common buckets counts in the least
-            once = ((F.col("component") == F.col("largest")) | (F.col("id") < F.col("l"))) & (F.col("key") == F.array_min(F.array_intersect("keys", "keys_l")))
-            on = (F.col("key") == F.col("k_l")) & (F.col("block") == F.col("b_l")) & (F.col("component") != F.col("c_l"))
-            pairs = rows.join(left, on & _alike(percent, scheme, ("n", "n_l"), ("sketch", "s_l")) & once).select(F.col("l").alias("u"), F.col("id").alias("v"))
+            on = (F.col("key") == F.col("k_l")) & (F.col("block") == F.col("b_l")) & (F.col("component") != F.col("c_l")) & ((F.col("component") == F.col("largest")) | (F.col("id") < F.col("l")))
+            once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_l"))
+            near = (100 + percent) * _unlike("w_", "w_l") <= (100 - percent) * (F.col("n") + F.col("n_l"))
+            pairs = rows.join(left, on & near & _alike(percent, scheme, ("n", "n_l"), ("s_", "s_l")) & once).select(F.col("l").alias("u"), F.col("id").alias("v"))
         found = stage(linked(pairs, star=turn < HUB_ROUNDS), "near-links")
         links = found if links is None else links.union(found)
         grouped = stage(components(links), "near-components")
