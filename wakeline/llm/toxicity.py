@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, spare, trim
+from .common import documents, small_batches, spare, stage, trim
 from .neardup import bands, samples
 from .wordhash import shingles, utf8, words
 
@@ -50,6 +50,8 @@ PRIOR = 4
 COPIES = 0.8
 #: Blocks that are read before a bound is tried; then four times as many each time.
 FIRST_BLOCKS = 8
+#: Terms that are held as rows of a matrix at most; entries that are looked through at once, where one text has no more; texts that are scored together.
+COMMON, ENTRIES, TOGETHER = 256, 1 << 19, 64
 THRESHOLD = 0.3
 #: The cosine from which two vectors are equal.
 SAME = 1 - 1e-9
@@ -145,42 +147,85 @@ class BlockMaxIndex:
         self.of, self.cuts = of[first], np.append(first, len(term))
         self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.runs = np.searchsorted(term[first], np.arange(int(term.max(initial=-1)) + 2))
-
-    def nearest(self, vector: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, row) of the k rows of largest positive cosine, the smaller row first among equals."""
-        terms, weights = pair(vector)
-        known = terms < len(self.runs) - 1
-        terms, weights = terms[known], weights[known]
+        # terms that most blocks have: their lists are written out as rows of matrices, with zeros
+        spread = np.diff(self.runs)
+        self.common = np.argsort(-spread, kind="stable")[: min(COMMON, int((2 * spread >= max(self.blocks, 2)).sum()))]
+        self._whole = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_whole": None}
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place of each term among the common ones (-1: none), and their weights by row and largest weights by block."""
+        if self._whole is None:
+            place = np.full(len(self.runs) - 1, -1, np.int64)
+            place[self.common] = np.arange(len(self.common))
+            rows, most = np.zeros((len(self.common), self.n)), np.zeros((len(self.common), self.blocks))
+            for i, t in enumerate(self.common.tolist()):
+                run = slice(self.runs[t], self.runs[t + 1])
+                most[i, self.of[run]] = self.most[run]
+                at = slice(self.cuts[self.runs[t]], self.cuts[self.runs[t + 1]])
+                rows[i, self.rows[at]] = self.weights[at]
+            self._whole = place, rows, most
+        return self._whole
+
+    def nearest(self, vectors: list[Vector], k: int) -> list[list[tuple[float, int]]]:
+        """For each vector (cosine, row) of the k rows of largest positive cosine, the smaller row first among equals."""
+        pairs = []
+        for vector in vectors:
+            terms, weights = pair(vector)
+            known = terms < len(self.runs) - 1
+            pairs.append((terms[known], weights[known]))
+        upto = np.cumsum([0, *(int((self.runs[t + 1] - self.runs[t]).sum()) + self.n for t, _ in pairs)])
+        out, at = [], 0
+        while at < len(pairs):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + ENTRIES, side="right")) - 1)
+            out += self._nearest(pairs[at:to], k)
+            at = to
+        return out
+
+    def _nearest(self, pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        best: list[list[tuple[float, int]]] = [[] for _ in pairs]
+        place, rows, most = self.whole()
+        terms, weights, owner = np.concatenate([t for t, _ in pairs]), np.concatenate([x for _, x in pairs]), np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
+        if not len(terms):
+            return best
+        here = place[terms] >= 0
+        common = np.zeros((len(pairs), len(rows)))
+        common[owner[here], place[terms[here]]] = weights[here]
+        base = common @ rows
+        terms, weights, owner = terms[~here], weights[~here], owner[~here]
         start = self.runs[terms]
         size = self.runs[terms + 1] - start
         run = _ranges(start, size)
-        if not len(run):
-            return []
-        w, of = np.repeat(weights, size), self.of[run]
-        bound = np.bincount(of, w * self.most[run], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
+        w, cell = np.repeat(weights, size), np.repeat(owner * self.blocks, size) + self.of[run]
+        bound = common @ most + np.bincount(cell, w * self.most[run], len(pairs) * self.blocks).reshape(-1, self.blocks)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        least = np.zeros(len(pairs))
         at, step = 0, FIRST_BLOCKS
         while at < self.blocks:
-            least = -best[-1][0] - 1e-12 if len(best) == k else 0.0
-            take = order[at : at + step]
-            take = take[(bound[take] > 0) & (bound[take] >= least)]
-            if not len(take):
+            take = order[:, at : at + step]
+            wanted = np.take_along_axis(bound, take, axis=1)
+            wanted = (wanted > 0) & (wanted >= least[:, None])
+            if not wanted.any():
                 break
-            read = np.zeros(self.blocks, bool)
-            read[take] = True
-            here = np.flatnonzero(read[of])
+            read = np.zeros(bound.shape, bool)
+            np.put_along_axis(read, take, wanted, axis=1)
+            here = np.flatnonzero(read.ravel()[cell])
             n = self.cuts[run[here] + 1] - self.cuts[run[here]]
             places = _ranges(self.cuts[run[here]], n)
-            scores = np.bincount(self.rows[places], np.repeat(w[here], n) * self.weights[places], self.n)
-            if 0 <= without < self.n:
-                scores[without] = 0
-            hit = np.flatnonzero(scores > max(least - 1e-9, 0.0))
-            if len(hit) > 4 * k:
-                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 1e-9]
-            best = sorted(best + [(-round(x, 12), i) for x, i in zip(scores[hit].tolist(), hit.tolist(), strict=True)])[:k]
+            scores = np.bincount(np.repeat(cell[here] // self.blocks * self.n, n) + self.rows[places], np.repeat(w[here], n) * self.weights[places], len(pairs) * self.n).reshape(-1, self.n) + base
+            scores[~np.repeat(read, self.block, axis=1)[:, : self.n]] = 0
+            for i in np.flatnonzero(wanted.any(axis=1)).tolist():
+                mine = scores[i]
+                hit = np.flatnonzero(mine > max(least[i] - 1e-9, 0.0))
+                if len(hit) > 4 * k:
+                    hit = hit[mine[hit] >= np.partition(mine[hit], -k)[-k] - 1e-9]
+                best[i] = sorted(best[i] + [(-round(x, 12), row) for x, row in zip(mine[hit].tolist(), hit.tolist(), strict=True)])[:k]
+                if len(best[i]) == k:
+                    least[i] = -best[i][-1][0] - 1e-12
             at, step = at + step, 4 * step
-        return [(-s, row) for s, row in best]
+        return [[(-x, row) for x, row in found] for found in best]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -191,29 +236,32 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Terms:
     """Numbers for all marks of the examples, and each example's marks with how often it has them.
 
-    Beginnings and repeated forms are numbered only where label 1 has them, which keeps the tables small.
+    Examples of label 1 come first: beginnings and repeated forms are numbered only where label 1 has them, which keeps the tables small.
     """
 
-    def __init__(self, bags: list[Counter], labels: np.ndarray):
+    def __init__(self):
         self.number: dict[str, int] = {}
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i in [*np.flatnonzero(labels == 1).tolist(), *np.flatnonzero(labels != 1).tolist()]:
-            tf: dict[str, int] = {}
-            for word, k in bags[i].items():
-                self.number.setdefault(word, len(self.number))
-                for mark in word_marks(word):
-                    tf[mark] = tf.get(mark, 0) + k
-            marks = {m: tf[m.partition("#")[0]] for m in often(tf)}
-            if labels[i] == 1:
-                for m in marks:
-                    self.number.setdefault(m, len(self.number))
-            known = {t: k for m, k in marks.items() if (t := self.number.get(m)) is not None}
-            terms = np.fromiter(known, np.int32, len(known))
-            order = np.argsort(terms)
-            held[i] = terms[order], np.fromiter(known.values(), np.int32, len(known))[order]
-        self.rows = [held[i] for i in range(len(bags))]
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, bag: dict[str, int], label: int) -> None:
+        number, tf = self.number, {}
+        for word, k in bag.items():
+            number.setdefault(word, len(number))
+            for mark in word_marks(word):
+                tf[mark] = tf.get(mark, 0) + k
+        marks = {m: tf[m.partition("#")[0]] for m in often(tf)}
+        if label == 1:
+            for m in marks:
+                number.setdefault(m, len(number))
+        known = {t: k for m, k in marks.items() if (t := number.get(m)) is not None}
+        terms = np.fromiter(known, np.int32, len(known))
+        order = np.argsort(terms)
+        self.rows.append((terms[order], np.fromiter(known.values(), np.int32, len(known))[order]))
+
+    def close(self) -> Terms:
         self.names = list(self.number)
         self.word = np.array([m[-1] != "*" and "#" not in m for m in self.names], bool)
+        return self
 
 
 class Neighbours:
@@ -306,8 +354,9 @@ class Neighbours:
         terms, tf = self.tf(bag)
         return terms, self._unit(terms, tf)
 
-    def nearest(self, terms: np.ndarray, tf: np.ndarray) -> list[tuple[float, int]]:
-        return self.index.nearest((terms, self._unit(terms, tf)), NEIGHBOURS)
+    def nearest(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
+        """(cosine, place) of the nearest examples of each row of marks and how often it has them."""
+        return self.index.nearest([(terms, self._unit(terms, tf)) for terms, tf in rows], NEIGHBOURS)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of label 1 in the neighbours' cosines, each at its label's natural weight."""
@@ -318,21 +367,26 @@ class Neighbours:
 class Model:
     """Neighbours and the map of their votes to probabilities."""
 
-    def __init__(self, examples: list[tuple[int, Counter, np.ndarray | None, int]], rate: float):
-        """examples: (id, words, MinHash samples, label); rate: the share of label 1 among all labelled rows."""
-        examples = sorted(examples, key=lambda x: x[0])
-        labels = np.array([x[3] for x in examples], np.int64)
-        n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    def __init__(self, examples: Iterable[tuple[int, dict[str, int], np.ndarray | None, int]], rate: float):
+        """examples: (id, words, MinHash samples, label), label 1 first; rate: the share of label 1 among all labelled rows."""
         self.neighbours, self.empty = None, 0.0
         self.steps, self.levels = np.array([0.0]), np.array([0.0])
+        terms, known = Terms(), []
+        for i, bag, sample, label in examples:
+            terms.add(bag, label)
+            known.append((i, sample, label))
+        order = sorted(range(len(known)), key=lambda i: known[i][0])
+        known, terms.rows = [known[i] for i in order], [terms.rows[i] for i in order]
+        ids, labels = np.array([x[0] for x in known], np.int64), np.array([x[2] for x in known], np.int64)
+        n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
         if not n.all():
             return
+        terms.close()
         weight = np.array([(1 - rate) / n[0], rate / n[1]])
-        groups = copy_groups([x[2] for x in examples])
-        terms, ids = Terms([x[1] for x in examples], labels), np.array([x[0] for x in examples], np.int64)
-        votes = np.full(len(examples), np.nan)
+        groups = copy_groups([x[1] for x in known])
+        votes = np.full(len(ids), np.nan)
         # groups are dealt to folds label by label, as they come by id
-        fold = np.zeros(len(examples), np.int64)
+        fold = np.zeros(len(ids), np.int64)
         for y in (0, 1):
             firsts, place = np.unique(groups[labels[groups] == y], return_inverse=True)
             fold[labels[groups] == y] = (np.arange(len(firsts)) % FOLDS)[place]
@@ -340,12 +394,12 @@ class Model:
             of, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if len(out) and 0 < labels[of].sum() < len(of):
                 others = Neighbours(terms, ids, labels, weight, groups, of)
-                for i in out:
-                    if near := others.nearest(*others.known(terms.rows[i])):
+                for i, near in zip(out.tolist(), others.nearest([others.known(terms.rows[i]) for i in out]), strict=True):
+                    if near:
                         votes[i] = others.vote(near)
-        self.neighbours = Neighbours(terms, ids, labels, weight, groups, np.arange(len(examples))).named(terms)
+        self.neighbours = Neighbours(terms, ids, labels, weight, groups, np.arange(len(ids))).named(terms)
         weights = weight[labels]
-        none = np.array([not x[1] for x in examples])
+        none = np.array([not len(x) for x, _ in terms.rows])
         self.empty = float(((none & (labels == 1)).sum() * weight[1] + rate * weight.min()) / ((weights * none).sum() + weight.min()))
         voted = ~np.isnan(votes)
         self._calibrate(votes[voted], labels[voted], weights[voted])
@@ -364,11 +418,16 @@ class Model:
             self.steps = np.array([p[0] for p in pools])
             self.levels = np.maximum.accumulate([(p[1] + PRIOR * rate * unit) / (p[2] + PRIOR * unit) for p in pools])
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """The calibrated score, and the ids of the neighbours it rests on."""
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """The calibrated score of each text, and the ids of the neighbours it rests on."""
         if self.neighbours is None:
-            return 0.0, []
-        near = self.neighbours.nearest(*self.neighbours.tf(counts(text)))
+            return [(0.0, [])] * len(texts)
+        return list(map(self._score, self.neighbours.nearest([self.neighbours.tf(counts(x)) for x in texts])))
+
+    def score(self, text: str | None) -> tuple[float, list[int]]:
+        return self.scores([text])[0]
+
+    def _score(self, near: list[tuple[float, int]]) -> tuple[float, list[int]]:
         if not near:
             return self.empty, []
         evidence = [self.neighbours.ids[row] for _, row in near]
@@ -381,6 +440,7 @@ class Model:
 
 def described(rows: list[tuple[int, str | None, int]]) -> list[tuple[int, Counter, np.ndarray | None, int]]:
     """Examples as Model takes them, from (id, text, label)."""
+    rows = sorted(rows, key=lambda x: -x[2])
     return [(i, counts(t), sample, y) for (i, t, y), sample in zip(rows, sampled([t for _, t, _ in rows]), strict=True)]
 
 
@@ -409,8 +469,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     chosen = docs.sparkSession.createDataFrame(picked, known.schema)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     made = texts.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(_describe, "id long, words array<string>, n array<long>, sample binary, label int")
-    examples = [(r.id, Counter(dict(zip(r.words, r.n, strict=True))), None if r.sample is None else np.frombuffer(r.sample, np.uint64), r.label) for r in made.toLocalIterator()]
-    return Model(examples, n[1] / (n[0] + n[1]))
+    made = stage(made, "toxicity-examples")
+
+    def examples():
+        for y in (1, 0):
+            for r in made.filter(F.col("label") == y).toLocalIterator():
+                yield r.id, dict(zip(r.words, r.n, strict=True)), None if r.sample is None else np.frombuffer(r.sample, np.uint64), r.label
+
+    model = Model(examples(), n[1] / (n[0] + n[1]))
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -419,9 +487,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     carried = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        one = carried.value.score
+        many = carried.value.scores
         for b in batches:
-            made = [one(x) for x in b.column(len(keep)).to_pylist()]
+            texts = b.column(len(keep)).to_pylist()
+            made = [x for at in range(0, len(texts), TOGETHER) for x in many(texts[at : at + TOGETHER])]
             value = np.array([x[0] for x in made], float)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(keep))), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array([x[1] for x in made], pa.list_(pa.int64()))], [*keep, f"{prefix}score", f"{prefix}predicted", f"{prefix}evidence"]
