@@ -24,7 +24,7 @@ from .pretok import pieces
 #: Pieces that a worker remembers, and the longest one that it does.
 CACHE_PIECES, CACHE_BYTES = 150_000, 64
 #: Code points taken together.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _loaded: dict[str, Ranks] = {}
 
 

@@ -51,7 +51,7 @@ COPIES = 0.8
 #: Blocks that are read before a bound is tried; then four times as many each time.
 FIRST_BLOCKS = 8
 #: Terms that are held as rows of a matrix at most; entries that are looked through at once, where one text has no more; texts that are scored together.
-COMMON, ENTRIES, TOGETHER = 256, 1 << 19, 64
+COMMON, ENTRIES, TOGETHER = 256, 1 << 16, 64
 THRESHOLD = 0.3
 #: The cosine from which two vectors are equal.
 SAME = 1 - 1e-9
