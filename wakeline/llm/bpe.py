@@ -22,7 +22,7 @@ from .common import documents, small_batches, spare, trim
 from .pretok import pieces
 
 #: Pieces that a worker remembers, and the longest one that it does.
-CACHE_PIECES, CACHE_BYTES = 150_000, 64
+CACHE_PIECES, CACHE_BYTES = 80_000, 64
 #: Code points taken together.
 CHUNK = 1 << 18
 _loaded: dict[str, Ranks] = {}
