@@ -3,13 +3,14 @@
 import argparse
 import dataclasses
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wakeline import cli
 from wakeline.operators import evaluate
 from wakeline.operators.detectors import detect
-from wakeline.operators.simulate import Config, labelled, plan, simulate
+from wakeline.operators.simulate import Config, episodes, labelled, plan, simulate
 from wakeline.plans.pipeline import build_feature_matrix
 from wakeline.sources import sinks
 from wakeline.sources.pings import load_summary, read_csv
@@ -73,3 +74,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 40
     with pytest.raises(argparse.ArgumentTypeError):
         cli.weight("piracy=1")
+
+
+@pytest.mark.parametrize("many, hours", [((1, 2), (1, 4)), ((5, 9), (3, 30)), ((2, 2), (90, 120)), ((1, 1), (500, 900))])
+def test_episodes_lie_apart(many, hours):
+    cfg = dataclasses.replace(SMALL, episodes_per_entity=many, episode_hours=dict.fromkeys(Config().episode_hours, hours))
+    for seed in range(200):
+        found = episodes(np.random.default_rng(seed), cfg, "dark_activity")
+        assert 1 <= len(found) <= many[1] and found[0][0] >= 0 and found[-1][1] <= cfg.n_steps
+        assert all(e - b >= 2 or cfg.n_steps <= 3 for b, e in found) and all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False))
+
+
+def test_units_share_no_entity():
+    for seed in range(3):
+        units = plan(dataclasses.replace(SMALL, num_entities=3000, seed=seed))
+        every = [e for u in units for e in u.entities]
+        assert len(every) == len(set(every)) and {len(u.entities) for u in units} == {1, 2}
+    assert plan(SMALL) != plan(dataclasses.replace(SMALL, seed=7))

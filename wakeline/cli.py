@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 
 from .operators import evaluate as ev
 from .operators.detectors import THRESHOLD, detect
-from .operators.simulate import ANOMALIES, Config, drop_columns, simulate
+from .operators.features import estimate_contamination, interval_of
+from .operators.simulate import ANOMALIES, Config, drop_columns, labelled, plan, simulate
 from .plans.pipeline import build_feature_matrix
 from .sources import sinks
 from .sources.pings import load_summary, read_csv
@@ -55,6 +56,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--no-anomaly-type", action="store_true")
     s.add_argument("--vessel-type", action="store_true")
     s.add_argument("--speed", action="store_true")
+    s.add_argument("--no-land-avoidance", action="store_true", help="accepted; all of the region is water here")
+    s.add_argument("--quiet", action="store_true", help="print no summary")
     return top
 
 
@@ -82,8 +85,10 @@ def run_detect(spark: SparkSession, a: argparse.Namespace) -> None:
         return features
 
     features = sinks.cached_features(spark, a.cache_features, make) if a.cache_features else staged(make(), "features")
-    rate = a.contamination if a.contamination is not None else known.get("rate")
-    print(f"interval {known.get('interval', a.interval)} h, contamination {rate}")
+    if "interval" not in known:  # a cached matrix has neither
+        known["interval"] = interval_of(pings) if a.interval is None else a.interval
+        known["rate"] = estimate_contamination(pings, known["interval"]).head()[0]
+    print(f"interval {known['interval']} h, contamination {known['rate'] if a.contamination is None else a.contamination}")
     found = staged(detect(features, a.threshold), "scores")
     if not a.no_eval and (metrics := ev.evaluate(found, a.threshold)) is not None:
         types = ev.per_type_breakdown(found, a.threshold)
@@ -101,12 +106,14 @@ def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:
     )
     pings = simulate(spark, cfg)
     if a.format == "both":  # made once for two writers
-        pings = pings.persist()
+        pings = staged(pings, "fleet")
     csv, trips = sinks.both_paths(a.output) if a.format == "both" else (a.output, a.output)
     if a.format != "trip-geojson":
         sinks.write_pings_csv(pings.drop(*drop_columns(cfg)), csv, a.decimals)
     if a.format != "csv":
         sinks.write_trips(pings.drop(*[c for c in drop_columns(cfg) if c != "anomaly_type"]), trips)
+    if not a.quiet:
+        print(f"{cfg.num_entities} entities, {cfg.n_steps} reports each at most, {labelled(plan(cfg))} with anomalies")
 
 
 def main(args: list[str] | None = None) -> int:

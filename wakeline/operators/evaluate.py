@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .detectors import THRESHOLD
 
 EPS = 1e-12
@@ -66,7 +67,7 @@ def evaluate(df: DataFrame, threshold: float = THRESHOLD, score: str = "ensemble
         return None
     said, true = F.col(score) >= threshold, F.col(label) == 1
     c = df.agg(F.count("*").alias("n_contacts"), _count(true).alias("n_true_anomalous"), _count(said).alias("n_flagged"), _count(said & true).alias("tp"), _count(said & ~true).alias("fp"), _count(~said & true).alias("fn"), _count(~said & ~true).alias("tn"))
-    counted = by_score(df, score, label).persist()  # a row for each distinct score
+    counted = staged(by_score(df, score, label), "by-score")  # a row for each distinct score
     c = _rates(c).crossJoin(F.broadcast(auroc(df, score, label, counted))).crossJoin(F.broadcast(average_precision(df, score, label, counted)))
     four = [F.round(x, 4).alias(x) for x in ("precision", "recall", "f1", "auroc", "average_precision")]
     return c.select(F.lit(float(threshold)).alias("threshold"), "n_contacts", "n_true_anomalous", "n_flagged", "tp", "fp", "fn", "tn", *four)
@@ -121,9 +122,26 @@ def score_distribution(df: DataFrame, score: str, by: str = "anomaly_type") -> D
     return df.groupBy(by).agg(three(F.avg(score), "mean"), three(F.percentile(score, 0.5), "p50"), three(F.percentile(score, 0.75), "p75"), three(F.max(score), "max"))
 
 
+def percentiles(df: DataFrame, score: str, shares: list[float]) -> DataFrame:
+    """One row, cuts: exact percentiles of the scores that are there, ascending, with steps between two values filled in evenly.
+
+    Values are ranked by counts in score ranges side by side, so no task holds them all; NULL without a score.
+    """
+    ranked = by_score(df.select(F.col(score).alias("x"), F.lit(1).alias("y")), "x", "y").select("s", F.col("pos_below").alias("below"), "pos")
+    total = ranked.agg(F.sum("pos").alias("n"))
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(sorted(shares))))
+    places = total.select(F.explode(F.when(F.col("n") > 0, wanted).otherwise(F.array())).alias("w"), "n").select("w.i", ((F.col("n") - 1) * F.col("w.q")).alias("at"))
+    places = places.select("i", "at", F.floor("at").alias("lo"), F.ceil("at").alias("hi"))
+    holds = lambda p: (F.col(p) >= F.col("below")) & (F.col(p) < F.col("below") + F.col("pos"))
+    # a value meets the few places that fall on it
+    at = ranked.join(F.broadcast(places), holds("lo") | holds("hi")).groupBy("i").agg(F.max(F.when(holds("lo"), F.col("s"))).alias("a"), F.max(F.when(holds("hi"), F.col("s"))).alias("b"), F.first(F.col("at") - F.col("lo")).alias("f"))
+    cuts = at.agg(F.sort_array(F.collect_list(F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("x")))).alias("c"))
+    return cuts.select(F.when(F.size("c") > 0, F.transform("c", lambda c: c["x"])).alias("cuts"))
+
+
 def score_threshold(df: DataFrame, score: str, percent: float = 97.0) -> DataFrame:
     """One row, threshold: the exact percentile of the scores that are there."""
-    return df.agg(F.percentile(score, percent / 100.0).alias("threshold"))
+    return percentiles(df, score, [percent / 100.0]).select(F.col("cuts")[0].alias("threshold"))
 
 
 def oracle_threshold(df: DataFrame, score: str, label: str, rule: str = "any_rule_flag") -> DataFrame:
@@ -133,7 +151,7 @@ def oracle_threshold(df: DataFrame, score: str, label: str, rule: str = "any_rul
     thresholds passed, so the rows are read once and not once for each threshold.
     """
     percents = [(FROM_PERCENT + (TO_PERCENT - FROM_PERCENT) * i / (TRIED - 1)) / 100.0 for i in range(TRIED)]
-    cuts = df.agg(F.percentile(score, percents).alias("cuts")).select(F.sort_array("cuts").alias("cuts"))
+    cuts = staged(percentiles(df, score, percents), "cuts")
     passed = F.expr(f"size(filter(cuts, c -> c <= {score}))")
     rule_said, true = F.coalesce(F.col(rule), F.lit(False)), F.col(label) == 1
     rows = df.crossJoin(F.broadcast(cuts)).select(F.when(rule_said, TRIED).when(F.col(score).isNull(), 0).otherwise(passed).alias("k"), true.alias("y"))

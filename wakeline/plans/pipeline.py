@@ -10,6 +10,7 @@ from ..operators import iforest, neighbors, rules, scaling, stays
 from ..operators.features import estimate_contamination, interval_of, track_features
 from ..operators.kinematics import kinematics, ping_features
 from ..operators.proximity import nearest, proximity_features
+from ..sources.staging import staged
 
 IF_COLUMNS = ["sog_knots", "time_gap_min", "speed_delta", "speed_z", "dist_from_prev_km", "bearing_delta", "dist_from_median_km", "is_stay_int", "stay_duration_min"]
 KNN_COLUMNS = ["sog_knots", "time_gap_min_capped", "speed_delta", "speed_z", "dist_from_prev_km", "bearing_delta", "dist_from_median_km", "is_stay_int", "stay_duration_min"]
@@ -37,7 +38,7 @@ def run_ping_pipeline(df: DataFrame, preset: str = "iforest", trees: int = ifore
     staypoint (density stays, forest by type).
     """
     stayed = stays.detect_stays(df, "cluster" if preset == "staypoint" else "window")
-    made = rules.apply_rules(ping_features(stayed), preset).persist()
+    made = staged(rules.apply_rules(ping_features(stayed), preset), "ping-features")
     if preset == "knn":
         scaled = scaling.standard_scale(made.select("event_id", "vessel_type", *KNN_COLUMNS), KNN_COLUMNS, "vessel_type")
         score = neighbors.knn_outlier(scaled, KNN_COLUMNS, KNN_K, "vessel_type", "event_id", LEAST_ROWS)

@@ -12,7 +12,7 @@ from ..operators import detectors, evaluate, iforest, kinematics, neighbors, pro
 from ..operators import features as feat
 from ..sources import pings as src
 from ..sources import sinks
-from ..sources.staging import shared_path
+from ..sources.staging import shared_path, staged
 from . import pipeline
 from . import sql as S
 
@@ -54,6 +54,23 @@ def _(spark, d):
     return six(_pings(spark, d).drop("timestamp", "bucket"))
 
 
+_CSV = "entity_id::INT AS entity_id, epoch_us(timestamp) // 1000000 AS at_s, round(lat, 5) AS lat, round(lon, 5) AS lon, vessel_type, round(sog_knots, 2) AS sog_knots, is_anomalous, anomaly_type"
+
+
+def _csv_query(name: str, packed: bool):
+    @query(name, f"WITH {S.PINGS} SELECT {_CSV} FROM pings")
+    def _(spark, d):
+        """Pings written as CSV files and read by the typed reader."""
+        path = shared_path(spark, name)
+        out = _pings(spark, d).select(F.col("entity_id").cast("int"), F.date_format(F.date_trunc("second", "timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "vessel_type", F.round("sog_knots", 2).alias("sog_knots"), "is_anomalous", "anomaly_type")
+        out.write.option("header", True).option("compression", "gzip" if packed else "none").csv(path)
+        return src.read_csv(spark, path).select("entity_id", F.unix_seconds("timestamp").alias("at_s"), "lat", "lon", "vessel_type", "sog_knots", F.col("is_anomalous").cast("int"), "anomaly_type")
+
+
+_csv_query("scan_csv", False)
+_csv_query("scan_csv_gz", True)
+
+
 @query("drop_labels", f"WITH {S.PINGS} SELECT entity_id, event_id, round(lat, 6) AS lat, round(lon, 6) AS lon, vessel_type, round(sog_knots, 6) AS sog_knots FROM pings")
 def _(spark, d):
     return six(src.drop_labels(_pings(spark, d)).drop("timestamp", "bucket"))
@@ -445,7 +462,7 @@ for _name, _score in (("score_slow_stratum", "score_slow_stratum"), ("score_colo
 
 @query("detect")
 def _(spark, d):
-    return detectors.detect(pipeline.build_feature_matrix(_pings(spark, d), INTERVAL_H, "bucket")[0].persist())
+    return detectors.detect(staged(pipeline.build_feature_matrix(_pings(spark, d), INTERVAL_H, "bucket")[0], "features"))
 
 
 def _stayed(spark, d, method: str) -> DataFrame:
