@@ -41,8 +41,16 @@ def hull_areas(lon: pd.Series, lat: pd.Series) -> pd.Series:
     return pd.Series([hull_area(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(lon, lat, strict=True)], dtype=float)
 
 
+def moved(df: DataFrame) -> DataFrame:
+    """df with kinematics and gap_h: what interval, contamination, features and proximity all start from, windowed once."""
+    kin = kinematics(df)
+    return kin.withColumn("gap_h", _lag_gap_h(kin))
+
+
 def _lag_gap_h(df: DataFrame) -> Column:
     """Hours since the previous ping, with fractions of seconds."""
+    if "gap_h" in df.columns:
+        return F.col("gap_h")
     w = track(df)
     return (F.unix_micros("timestamp") - F.lag(F.unix_micros("timestamp")).over(w)) / 1e6 / 3600.0
 
@@ -69,9 +77,10 @@ def interval_of(df: DataFrame) -> float:
 def estimate_contamination(df: DataFrame, interval_h: float) -> DataFrame:
     """One row with contamination: the share of entities with a big gap or an impossible speed, within limits."""
     w = track(df)
-    moved = df.select("entity_id", _lag_gap_h(df).alias("dt"), haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon").alias("km"))
+    km = F.col("dist_km") if "dist_km" in df.columns else haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon")
+    steps = df.select("entity_id", _lag_gap_h(df).alias("dt"), km.alias("km"))
     odd = F.coalesce(F.col("dt") > BIG_GAP_FACTOR * interval_h, F.lit(False)) | F.coalesce(F.when(F.col("dt") > 0, F.col("km") / F.col("dt") / KM_PER_NM) > SUSPICIOUS_KT, F.lit(False))
-    return moved.groupBy("entity_id").agg(F.max(odd.cast("int")).alias("odd")).agg(clamp(F.avg("odd"), *RATE_LIMITS).alias("contamination"))
+    return steps.groupBy("entity_id").agg(F.max(odd.cast("int")).alias("odd")).agg(clamp(F.avg("odd"), *RATE_LIMITS).alias("contamination"))
 
 
 def _or_zero(c: Column) -> Column:
@@ -129,9 +138,9 @@ PLACES = ["min_stratum_dist_nm", "frac_inside_stratum", "hours_inside_stratum",
 
 
 def track_features(df: DataFrame, interval_h: float, hull: bool = True) -> DataFrame:
-    """entity_id, motion, gap, place and (if labelled) truth features: one shuffle by entity for windows and aggregation."""
+    """entity_id, motion, gap, place and (if labelled) truth features: one shuffle by entity for windows and aggregation. df may be moved() before."""
     order = F.struct(*(c for c in ("timestamp", "event_id") if c in df.columns)) if "event_id" in df.columns else F.struct("timestamp", "lat", "lon")
-    kin = kinematics(df).withColumn("_order", order)
+    kin = (df if "dist_km" in df.columns else kinematics(df)).withColumn("_order", order)
     aggs = motion_aggregates() | gap_aggregates(interval_h) | place_aggregates() | truth_aggregates(df.columns)
     if hull:
         aggs |= {"_lons": F.collect_list("lon"), "_lats": F.collect_list("lat")}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import iforest, neighbors, rules, scaling, stays
-from ..operators.features import estimate_contamination, interval_of, track_features
-from ..operators.kinematics import kinematics, ping_features
+from ..operators.features import estimate_contamination, interval_of, moved, track_features
+from ..operators.kinematics import ping_features
 from ..operators.proximity import nearest, proximity_features
 from ..sources.staging import staged
 
@@ -19,10 +19,11 @@ KNN_K, LEAST_ROWS = 10, 50
 
 def build_feature_matrix(df: DataFrame, interval_h: float | None = None, moment: str = "timestamp") -> tuple[DataFrame, float, float]:
     """(one row of features for each entity, interval in hours, estimated contamination). A given interval is kept."""
+    df = staged(moved(df), "kinematics")
     interval_h = interval_of(df) if interval_h is None else interval_h
     contamination = estimate_contamination(df, interval_h).head()[0]
     features = track_features(df, interval_h)
-    slim = kinematics(df).select("entity_id", "timestamp", "lat", "lon", "speed_kt", *(["event_id"] if "event_id" in df.columns else []), *([moment] if moment != "timestamp" else []))
+    slim = df.select("entity_id", "timestamp", "lat", "lon", "speed_kt", *(["event_id"] if "event_id" in df.columns else []), *([moment] if moment != "timestamp" else []))
     if moment != "timestamp":
         from ..operators.proximity import first_in_bucket
 
