@@ -99,8 +99,7 @@ class WordEncoder:
         known = self.known
         # a stop or comma after an ASCII letter is a piece of its own
         tail = {w: w[:-1] for w in new if w[-1] in b",.;:!?|" and len(w) > 1 and 97 <= w[-2] <= 122}
-        todo = {tail.get(w, w) for w in new} | {w[-1:] for w in tail}
-        todo.difference_update(known)
+        todo = ({tail.get(w, w) for w in new} | {w[-1:] for w in tail}).difference(known)  # looks up todo's words, not all known ones
         letters, other = [], []
         for w in todo:
             text = w.decode()
