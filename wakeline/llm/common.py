@@ -72,17 +72,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Bytes at which a batch has enough, whatever its rows.
+ENOUGH_BYTES = 16 << 20
+
+
 def merged(batches, rows: int):
-    """Arrow batches put together to `rows` rows or more; the last may have fewer."""
+    """Arrow batches put together to `rows` rows or ENOUGH_BYTES, or more; the last may have fewer."""
     import pyarrow as pa
 
-    held, n = [], 0
+    held, n, size = [], 0, 0
     for b in batches:
         held.append(b)
-        n += b.num_rows
-        if n >= rows:
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= ENOUGH_BYTES:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
+            held, n, size = [], 0, 0
     if n:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 

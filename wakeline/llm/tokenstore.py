@@ -33,14 +33,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, small_batches
+from .common import documents, merged, new_path, small_batches
 from .ranges import range_bounds, range_of, ranges_of, runs
 from .wordhash import mix
 
 END_ID = 1
 #: Rows of a shard: few for small tables, to keep all cores busy; files of some 100 MB for large ones.
 LEAST_ROWS, MOST_ROWS = 512, 65_536
-#: Words that a worker remembers.
+#: Rows whose new words are learnt together, and words that a worker remembers.
+ROWS = 2000
 CACHE_WORDS = 800_000
 MAGIC, FOOTER = b"WKTS0002", struct.Struct("<QQQQQQQQQ8s")
 #: Bytes of payload that are read at once, where one row has no more.
@@ -99,7 +100,9 @@ class WordEncoder:
         known = self.known
         # a stop or comma after an ASCII letter is a piece of its own
         tail = {w: w[:-1] for w in new if w[-1] in b",.;:!?|" and len(w) > 1 and 97 <= w[-2] <= 122}
-        todo = ({tail.get(w, w) for w in new} | {w[-1:] for w in tail}).difference(known)  # looks up todo's words, not all known ones
+        todo = new.difference(tail)
+        todo.update(w for w in tail.values() if w not in known)
+        todo.update(w for w in (bytes([c]) for c in b",.;:!?|") if tail and w not in known)
         letters, other = [], []
         for w in todo:
             text = w.decode()
@@ -285,7 +288,7 @@ class TokenStore:
         def encoded(batches):
             run = encoder(tokenizer)
             end = b"" if end_id is None else np.array([end_id], run.dtype).tobytes()
-            for b in batches:
+            for b in merged(batches, ROWS):
                 ids = [x + end for x in run.encode(b.column(1).to_pylist())]
                 keys = b.column(0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(range_of(keys, cut, np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))), pa.int32()), keys, pa.array(ids, pa.binary())], ["shard", "key", "ids"])
