@@ -118,15 +118,15 @@ class MergeMachine:
         self.next[state, byte] = self._state(name)
         self.gain[state, byte] = gain
 
-    def walk(self, found: list[bytes], names: list[tuple]) -> tuple[list[tuple], np.ndarray]:
-        """The states after byte strings, and their counts; names has the state before each."""
+    def walk(self, found: list[bytes], names: list[tuple] | None = None) -> tuple[list[tuple], np.ndarray]:
+        """The states after byte strings, and their counts; names has the state before each. Without it all begin at the start, and states aren't returned."""
         total = np.zeros(len(found), np.int64)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         order = np.argsort(-lengths, kind="stable")
         data = np.frombuffer(b"".join(found), np.uint8)
         begin = (np.cumsum(lengths) - lengths)[order]
         sizes = lengths[order]
-        state = np.array([self._state(names[i]) for i in order], np.int32)
+        state = np.zeros(len(found), np.int32) if names is None else np.array([self._state(names[i]) for i in order], np.int32)
         for k in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -k))  # those longer than k
             byte = data[begin[:live] + k]
@@ -144,8 +144,11 @@ class MergeMachine:
                 held = [self.states[s] for s in used.tolist()]
                 self.clear()
                 state = np.array([self._state(x) for x in held], np.int32)[place]
-        out, ends = np.zeros(len(found), np.int64), [_START] * len(found)
+        out = np.zeros(len(found), np.int64)
         out[order] = total
+        if names is None:
+            return [], out
+        ends = [_START] * len(found)
         for i, s in zip(order.tolist(), state.tolist(), strict=True):
             ends[i] = self.states[s]
         return ends, out
@@ -153,6 +156,8 @@ class MergeMachine:
     def count(self, found: list[bytes]) -> np.ndarray:
         """Tokens of each byte string."""
         cut = [i for i, x in enumerate(found) if len(x) > LONG]
+        if not cut:
+            return self.walk(found)[1]
         starts = [(i, at) for i in cut for at in range(0, len(found[i]), STEP)]
         guess, _ = self.walk([found[i][max(0, at - WARM) : at] for i, at in starts], [_START] * len(starts))
         whole = [x if len(x) <= LONG else b"" for x in found]
