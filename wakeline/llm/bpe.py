@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches, spare, trim
 from .pretok import pieces
 
-#: Pieces that a worker remembers, and the longest one that it does.
+#: Pieces that a worker remembers, in two generations, and the longest one that it does.
 CACHE_PIECES, CACHE_BYTES = 150_000, 64
 #: Code points taken together.
 CHUNK = 1 << 18
+#: Instead of a rank, where a pair has none.
+NONE = np.int32((1 << 31) - 1)
 _loaded: dict[str, Ranks] = {}
 
 
@@ -36,6 +38,62 @@ class Ranks:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """Every pair of tokens that makes a token, as sorted keys with the rank made, and pairs of bytes as a table."""
+        rank = self.ranks.get
+        pairs = [(a << 32 | b, made) for token, made in self.ranks.items() for i in range(1, len(token)) if (a := rank(token[:i])) is not None and (b := rank(token[i:])) is not None]
+        found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.pair_keys, self.pair_ranks = np.append(found[:, 0], np.int64(1 << 62)), np.append(found[:, 1], NONE).astype(np.int32)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = self._rank_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's concatenation, NONE where it has none; no token has a negative id."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
+
+    def merge_many(self, found: list[bytes]) -> list[bytes]:
+        """merge() of short pieces side by side, as the bytes of their ids: each round joins one pair of every piece that has one left."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        width = int(sizes.max())
+        data = np.zeros((len(found), width), np.uint8)
+        data[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(found), np.uint8)
+        ids = np.full((len(found), width + 1), -1, np.int32)
+        ids[:, :width] = np.where(np.arange(width) < sizes[:, None], self.byte_ids[data], -1)
+        # ranks[:, i] is that of the pair at i and i + 1; the last columns have none
+        ranks = np.full((len(found), width + 1), NONE, np.int32)
+        pairs = self.byte_pairs[data[:, :-1].astype(np.int32) << 8 | data[:, 1:]]
+        ranks[:, : width - 1] = np.where(np.arange(1, width) < sizes[:, None], pairs, NONE)
+        out, place, count = np.full((len(found), width), -1, np.int32), np.arange(len(found)), sizes.copy()
+        while len(place):
+            best = ranks.argmin(1)
+            row = np.arange(len(place))
+            made = ranks[row, best]
+            done = made == NONE
+            if done.any():
+                out[place[done]] = ids[done, :width]
+                going = ~done
+                place, ids, ranks, best, made = place[going], ids[going], ranks[going], best[going], made[going]
+                row = np.arange(len(place))
+                if not len(place):
+                    break
+            count[place] -= 1
+            # what stands after the pair moves one place to the left
+            later = np.arange(width) > best[:, None]
+            ids[:, :-1] = np.where(later, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(later, ranks[:, 1:], ranks[:, :-1])
+            ids[row, best] = made
+            ranks[row, best] = self._rank_of(made, ids[row, best + 1])
+            inner = np.flatnonzero(best)
+            before = best[inner] - 1
+            ranks[inner, before] = self._rank_of(ids[inner, before], made[inner])
+        raw = out[np.arange(width) < count[:, None]].astype("<u4").tobytes()
+        stops = (np.cumsum(count) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def merge(self, piece: bytes) -> list[int]:
         """Join the adjacent pair of lowest rank, the leftmost of equals, until no pair has a rank."""
@@ -86,15 +144,25 @@ class Ranks:
     def encode_pieces(self, found: list[bytes]) -> list[bytes]:
         """Each piece's ids as little-endian 32-bit integers."""
         new = set(found).difference(self.known)
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
+        if len(self.known) + len(new) > CACHE_PIECES // 2:
+            # pieces not seen since the last change are forgotten
+            self.older, self.known = self.known, {}
             new = set(found)
-        long = {}
-        for piece in new:
-            (self.known if len(piece) <= CACHE_BYTES else long)[piece] = np.array(self.merge(piece), "<u4").tobytes()
+        known, long = self.known, {}
+        for piece in new.intersection(self.older):
+            known[piece] = self.older[piece]
+        widths: dict[int, list[bytes]] = {}
+        for piece in new.difference(self.older):
+            size = len(piece)
+            if size > CACHE_BYTES:
+                long[piece] = np.array(self.merge(piece), "<u4").tobytes()
+            else:
+                widths.setdefault(size.bit_length(), []).append(piece)
+        for some in widths.values():
+            known.update(zip(some, self.merge_many(some), strict=True))
         if long:
-            return [long[x] if len(x) > CACHE_BYTES else self.known[x] for x in found]
-        return list(map(self.known.__getitem__, found))
+            return [long[x] if len(x) > CACHE_BYTES else known[x] for x in found]
+        return list(map(known.__getitem__, found))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, list[int], np.ndarray]]:
         """Of each text: its ids, how many bytes of ids each piece has, and where pieces begin in its bytes."""
