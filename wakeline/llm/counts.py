@@ -10,7 +10,7 @@ Two deterministic machines, both of which annotate transitions with counts of to
   longest suffix that begins some token, and for each position in it the last token there and the count
   relative to now. A transition carries the change of the count, 1 - (tokens undone by the merge).
 
-States are compiled when first reached, as there are far too many to list beforehand; when MAX_STATES are held, the
+States are compiled when first reached, as there are far too many to list beforehand; when over MAX_STATES are held, the
 table starts anew, so memory is bounded. All new pieces of a batch run through it side by side; pieces of over LONG bytes are cut into chunks.
 A chunk's map gives the state after it and its count for states before it. It is known where it is asked for: first for the state
 that the WARM bytes before the chunk lead to from the start, then for the states in which the chunk before ends. Maps of adjacent chunks
@@ -37,7 +37,11 @@ from .common import documents, merged, small_batches, spare
 from .pretok import pieces
 
 LIMIT = 512
-MAX_STATES = 60_000
+MAX_STATES = 120_000
+#: Rows by which the table of transitions grows.
+MORE_STATES = 16_384
+#: Strings whose ends are remembered, and the count of a transition that isn't known.
+MAX_GROWN, UNKNOWN = 200_000, -(1 << 15)
 #: Rows and code points that are counted together: a long piece is walked byte by byte, so it should have company.
 ROWS, CHUNK = 1000, 1 << 20
 #: Pieces that a worker remembers.
@@ -62,14 +66,18 @@ class MergeMachine:
         self.tokens, self.merges = tokens, merges
         self.text = {v: k for k, v in tokens.items()}
         self.prefixes = {k[:i] for k in tokens for i in range(len(k) + 1)}
+        self.made_by = {made: (rank, a, b) for (a, b), (rank, made) in merges.items()}
+        if len(self.made_by) < len(merges) or any(self.made_by[x][0] > rank for rank, a, b in self.made_by.values() for x in (a, b) if x in self.made_by):
+            raise ValueError("merges out of order, or two of them that make one token")
         self.compatible: dict[tuple[int, int], bool] = {}
+        self.grown: dict[bytes, tuple[list[tuple[int, int]], int]] = {}
+        self.next, self.gain = np.empty((MORE_STATES, 256), np.int32), np.empty((MORE_STATES, 256), np.int16)
         self.clear()
 
     def clear(self) -> None:
         self.names: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.next = np.full((1024, 256), -1, np.int32)
-        self.gain = np.zeros((1024, 256), np.int16)
+        self.ready = 0  # rows that are blank or in use; memory is taken as they are
         self._state(_START)
 
     def _state(self, name: tuple) -> int:
@@ -77,21 +85,55 @@ class MergeMachine:
         if found is None:
             found = self.names[name] = len(self.states)
             self.states.append(name)
-            if found >= len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
+            if found >= self.ready:
+                self._rows()
         return found
 
+    def _rows(self) -> None:
+        if self.ready == len(self.next):
+            room = max(MAX_STATES, self.ready) + MORE_STATES
+            for name in ("next", "gain"):
+                held = getattr(self, name)
+                made = np.empty((room, 256), held.dtype)
+                made[: self.ready] = held
+                setattr(self, name, made)
+        to = min(self.ready + 1024, len(self.next))
+        self.next[self.ready : to], self.gain[self.ready : to] = -1, UNKNOWN
+        self.ready = to
+
     def _pair(self, left: int, right: int) -> bool:
-        """Does BPE leave the two tokens' concatenation as these two?"""
+        """Does BPE leave the two tokens' concatenation as these two?
+
+        Merges that touch the border are looked at from the last one back: a pair across the border would have been
+        merged if its rank comes before that of the merge which took either half away. It needs that a token is made
+        by one merge, of a later rank than those which made its halves.
+        """
         key = (left, right)
         found = self.compatible.get(key)
         if found is None:
-            found = self.compatible[key] = self.merge(self.text[left] + self.text[right]) == [left, right]
             if len(self.compatible) > 1_000_000:
                 self.compatible.clear()
+            found = self.compatible[key] = self._apart(left, right)
         return found
 
+    def _apart(self, left: int, right: int) -> bool:
+        merges, made_by = self.merges.get, self.made_by.get
+        # the ranks of the merges that took the present halves away
+        until_left = until_right = 1 << 60
+        while True:
+            across = merges((left, right))
+            a, b = made_by(left), made_by(right)
+            from_left, from_right = a[0] if a else -1, b[0] if b else -1
+            # of equal ranks the leftmost goes first: merges in the left half before the pair across, and this before those in the right half
+            if across is not None and across[0] < until_left and across[0] <= until_right:
+                return False
+            if a is None and b is None:
+                return True
+            if from_left > from_right:
+                until_left, left = from_left, a[2]
+            else:
+                until_right, right = from_right, b[1]
+
     def merge(self, piece: bytes) -> list[int]:
         parts = [self.tokens[piece[i : i + 1]] for i in range(len(piece))]
         while len(parts) > 1:
@@ -102,21 +144,35 @@ class MergeMachine:
             parts[i : i + 2] = [made]
         return parts
 
-    def compile(self, state: int, byte: int) -> None:
+    def _grown(self, grown: bytes) -> tuple[list[tuple[int, int]], int]:
+        """Tokens that end a string, with their places, the longest first, and where its longest suffix that begins some token starts."""
+        found = self.grown.get(grown)
+        if found is None:
+            if len(self.grown) > MAX_GROWN:
+                self.grown.clear()
+            ends = [grown[i:] for i in range(len(grown))]
+            cut = next((i for i, x in enumerate(ends) if x in self.prefixes), len(grown))
+            found = self.grown[grown] = [(i, t) for i, x in enumerate(ends[cut:], cut) if (t := self.tokens.get(x)) is not None], cut
+        return found
+
+    def compile(self, state: int, byte: int, last: bool = False) -> None:
+        """Fill in the transition; only its count if no byte follows."""
         suffix, lasts, counts = self.states[state]
-        grown = suffix + bytes((byte,))
-        n = len(suffix)
-        for i in range(n + 1):  # the longest token first
-            token = self.tokens.get(grown[i:])
-            if token is not None and (lasts[i] < 0 or self._pair(lasts[i], token)):
+        tokens, cut = self._grown(suffix + bytes((byte,)))
+        for i, token in tokens:
+            if lasts[i] < 0 or self._pair(lasts[i], token):
                 break
         else:
             raise ValueError("a byte without a token")
-        gain = counts[i] + 1
-        cut = next(k for k in range(n + 2) if grown[k:] in self.prefixes)
-        name = (grown[cut:], (*lasts[cut:], token)[: n + 2 - cut], (*(c - gain for c in counts[cut:]), 0)[: n + 2 - cut])
-        self.next[state, byte] = self._state(name)
-        self.gain[state, byte] = gain
+        gain = self.gain[state, byte] = counts[i] + 1
+        if not last:
+            name = (suffix[cut:] + bytes((byte,)) if cut <= len(suffix) else b"", (*lasts[cut:], token), (*(c - gain for c in counts[cut:]), 0))
+            self.next[state, byte] = self._state(name)
+
+    def _fill(self, state: np.ndarray, byte: np.ndarray, missing: np.ndarray, last: bool) -> None:
+        if missing.any():
+            for key in np.unique(state[missing].astype(np.int64) * 256 + byte[missing]).tolist():
+                self.compile(key >> 8, key & 255, last)
 
     def walk(self, found: list[bytes], names: list[tuple] | None = None) -> tuple[list[tuple], np.ndarray]:
         """The states after byte strings, and their counts; names has the state before each. Without it all begin at the start, and states aren't returned."""
@@ -131,13 +187,14 @@ class MergeMachine:
             live = int(np.searchsorted(-sizes, -k))  # those longer than k
             byte = data[begin[:live] + k]
             here = state[:live]
+            # where states after strings aren't asked for, last bytes need no transition but its count
+            more = int(np.searchsorted(-sizes, -(k + 1))) if names is None else live
             to = self.next[here, byte]
-            if (to < 0).any():
-                for key in np.unique(here[to < 0].astype(np.int64) * 256 + byte[to < 0]).tolist():
-                    self.compile(key >> 8, key & 255)
-                to = self.next[here, byte]
+            self._fill(here[:more], byte[:more], to[:more] < 0, False)
+            self._fill(here[more:], byte[more:], self.gain[here[more:], byte[more:]] == UNKNOWN, True)
+            to[:more] = self.next[here[:more], byte[:more]]
             total[:live] += self.gain[here, byte]
-            state[:live] = to
+            state[:more] = to[:more]
             if len(self.states) > MAX_STATES:
                 # keep only the states that strings are in now
                 used, place = np.unique(state, return_inverse=True)
