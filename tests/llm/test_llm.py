@@ -779,3 +779,27 @@ def test_pipeline_stages_odd_tables(spark, sf_dir):
             out = stage(spark, table, sf_dir)
             assert name == "byte-bpe" or out.columns == df.columns
             assert (out.count() == 0) == (table.isEmpty())
+
+
+# 4 and 9: the fast forms against the plain ones
+def test_pieces_merged_side_by_side(monkeypatch):
+    table = bpe.Ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    rng = random.Random(11)
+    some = sorted({bytes(rng.choice(b"abcde \xd0\xb0\xff\x00") for _ in range(rng.randint(1, 64))) for _ in range(3000)})
+    want = [np.array(table.merge(x), "<u4").tobytes() for x in some]
+    assert table.merge_many(some) == want
+    assert table.merge_many([b"a"]) == [np.array(table.merge(b"a"), "<u4").tobytes()]
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 64)  # generations change with every call
+    for at in range(0, len(some), 50):
+        assert table.encode_pieces(some[max(0, at - 25) : at + 50]) == want[max(0, at - 25) : at + 50]
+
+
+def test_tokens_left_apart():
+    machine = counts.Counter(P.path("byte_bpe_50k.json")).machine
+    rng = random.Random(12)
+    known = sorted(machine.text)
+    few = [machine.tokens[x] for x in (b"a", b"aa", b"b", b"ab", b"the", b"he", b"t", b" ", b"  ", b"--", b"-") if x in machine.tokens]
+    pairs = [(a, b) for a in few for b in few] + [(rng.choice(known), rng.choice(known)) for _ in range(3000)]
+    assert all(machine._apart(a, b) == (machine.merge(machine.text[a] + machine.text[b]) == [a, b]) for a, b in pairs)
+    with pytest.raises(ValueError, match="out of order"):
+        counts.MergeMachine({b"a": 0, b"aa": 1, b"aaa": 2}, {(0, 0): (5, 1), (1, 0): (3, 2)})
