@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from wakeline.functions.geo import KM_PER_NM, haversine_km
 from wakeline.operators import evaluate, neighbors, proximity, rules, scaling, stays
 from wakeline.operators.features import estimate_contamination, hull_area, interval_of, track_features
 from wakeline.operators.kinematics import kinematics, ping_features, rolling_slow
+from wakeline.plans.sql import haversine
 
 T0 = datetime(2025, 1, 1)
 NM_LAT = KM_PER_NM / (2 * np.pi * 6371.0088 / 360)
@@ -107,6 +109,28 @@ def test_sweep_equals_join(spark):
     assert key(proximity.nearest(df)) == key(proximity.nearest_by_join(df))
 
 
+def test_mirror_images_are_told_apart_as_in_sql(spark):
+    """Two points as far to the left as to the right, on the grid of the queries: SQL's arithmetic says which is nearer."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for m in range(300):
+        y, x, k = 24 + int(rng.integers(-500, 500)) / 4000, -80.5 + int(rng.integers(-400, 400)) / 4000, int(rng.integers(1, 90)) / 4000
+        rows += [(1, m, y, x), (2, m, y, x + k), (3, m, y, x - k)]
+    rows += [(1, 300, 10.0, -70.0), (9, 300, 10.5, -70.0), (4, 300, 10.5, -70.0)]  # equal to the last bit: the smaller id
+    near = proximity.nearest(pings(spark, rows).withColumn("speed_kt", F.when(F.col("entity_id") == 1, 0.5).when(F.col("entity_id") == 3, 2.0).otherwise(0.5)), moments=64)
+    got = {r.moment: r.nn_id for r in near.filter("entity_id = 1").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (e INT, m INT, y DOUBLE, x DOUBLE)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?, ?)", rows)
+    km = haversine("a.y", "a.x", "b.y", "b.x")
+    want = {T0 + timedelta(minutes=m): e for m, e in con.sql(f"SELECT a.m, arg_min(b.e, ({km}, b.e)) FROM p a JOIN p b ON a.m = b.m AND a.e = 1 AND b.e <> 1 GROUP BY a.m").fetchall()}
+    assert got == want
+    # the neighbour's speed decides on hours of two slow ones
+    close = near.filter("entity_id = 1").withColumn("nn_dist_nm", F.lit(0.5))
+    slow = one(proximity.proximity_features(close, near.filter("entity_id = 1").select("entity_id").distinct(), 1.0)).co_slow_hours
+    assert slow == sum(e != 3 for e in want.values())
+
+
 def test_interval_and_contamination(spark):
     rows = [(1, 15 * i, 10, -70) for i in range(5)] + [(2, 30 * i, 10, -70) for i in range(5)] + [(3, 0, 10, -70), (3, 600, 20, -70)]
     df = pings(spark, rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,31 +32,56 @@ def nearest_by_join(df: DataFrame, moment: str = "timestamp") -> DataFrame:
     return pairs.groupBy("moment", "entity_id", "speed_kt").agg(best).select("moment", "entity_id", "speed_kt", (F.col("m.d") / KM_PER_NM).alias("nn_dist_nm"), F.col("m.nn_id").alias("nn_id"), F.col("m.nn_speed_kt").alias("nn_speed_kt"))
 
 
+def scalar_km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """The great-circle distance in the order of operations of the SQL and by the C library, so that it is the same to the last bit."""
+    p1, p2 = math.radians(lat1), math.radians(lat2)
+    a = math.pow(math.sin((p2 - p1) / 2), 2.0) + math.cos(p1) * math.cos(p2) * math.pow(math.sin(math.radians(lon2 - lon1) / 2), 2.0)
+    return 2 * EARTH_RADIUS_KM * math.asin(math.sqrt(min(a, 1.0)))
+
+
 def sweep(ids: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distance in km to the nearest other point and its index, the smaller id among equals.
 
     Points in latitude order are compared with those 1, 2, ... places away, for all points at once, until the latitude alone
-    is farther than the best so far.
+    is farther than the best so far. numpy's last bits are not the SQL's, so points that are nearest but for rounding (mirror
+    images on a grid, mostly) are remembered and told apart by scalar_km.
     """
     order = np.lexsort((ids, lat))
     p, q, i = np.radians(lat[order]), np.radians(lon[order]), ids[order]
     n = len(p)
-    best, who = np.full(n, np.inf), np.full(n, -1)
-    cos = np.cos(p)
+    best, who, least = np.full(n, np.inf), np.full(n, -1), np.full(n, np.inf)
+    cos, seen = np.cos(p), []
     for up in (1, -1):
         live = np.arange(n)
         for k in range(1, n):
             other = live + up * k
             ok = (other >= 0) & (other < n)
             live, other = live[ok], other[ok]
-            ok = np.abs(p[other] - p[live]) * EARTH_RADIUS_KM <= best[live] + 1e-9
+            ok = np.abs(p[other] - p[live]) * EARTH_RADIUS_KM <= best[live] * (1 + 1e-9) + 1e-9
             live, other = live[ok], other[ok]
             if not len(live):
                 break
             a = np.sin((p[other] - p[live]) / 2) ** 2 + cos[live] * cos[other] * np.sin((q[other] - q[live]) / 2) ** 2
             d = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
+            near = a <= least[live]
+            seen.append((live[near], other[near], a[near]))
             nearer = (d < best[live]) | ((d == best[live]) & (i[other] < i[who[live]]))
             best[live[nearer]], who[live[nearer]] = d[nearer], other[nearer]
+            # beyond what rounding may do to a, near 0 as well
+            least[live[nearer]] = a[nearer] * (1 + 1e-13) + 1e-14 * np.sqrt(a[nearer])
+    if seen:
+        one, two, a = map(np.concatenate, zip(*seen))
+        even = a <= least[one]
+        one, two = one[even], two[even]
+        tied = np.bincount(one, minlength=n)[one] > 1
+        first: dict[int, tuple[float, int, int]] = {}
+        y, x = lat[order].tolist(), lon[order].tolist()
+        for u, v in zip(one[tied].tolist(), two[tied].tolist()):
+            found = (scalar_km(y[u], x[u], y[v], x[v]), int(i[v]), v)
+            if u not in first or found < first[u]:
+                first[u] = found
+        for u, (d, _, v) in first.items():
+            best[u], who[u] = d, v
     out, index = np.empty(n), np.empty(n, np.int64)
     out[order], index[order] = best, order[who]
     return out, index
