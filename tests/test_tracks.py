@@ -131,6 +131,24 @@ def test_mirror_images_are_told_apart_as_in_sql(spark):
     assert slow == sum(e != 3 for e in want.values())
 
 
+def test_near_rows_are_found_by_cells():
+    """Against all pairs: copies, columns of rare values far off, ids that repeat; such columns part no region."""
+    rng = np.random.default_rng(7)
+    rows = np.round(rng.normal(size=(1500, 4)), 1)
+    rows[:, 3] = np.where(rng.random(1500) < 0.02, 50.0, 0.0)
+    rows[1000:1100] = rows[0]
+    for ids in (rng.permutation(1500), np.arange(1500) // 3):
+        got = neighbors._best(rows, ids, neighbors.Cells(rows, ids, 6), 5, False)
+        d = np.sqrt(((rows[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2))
+        want = []
+        for i in range(1500):
+            others = np.flatnonzero(ids != ids[i])
+            want += [(ids[i], ids[j], d[i, j]) for j in others[np.lexsort((ids[others], d[i, others]))[:5]]]
+        assert sorted(got.itertuples(index=False, name=None)) == sorted(want)
+    wide = np.vstack([np.c_[rng.normal(size=9000), np.zeros(9000)], [[0.0, 1e6]]])
+    assert neighbors.Regions(wide).count > 1
+
+
 def test_interval_and_contamination(spark):
     rows = [(1, 15 * i, 10, -70) for i in range(5)] + [(2, 30 * i, 10, -70) for i in range(5)] + [(3, 0, 10, -70), (3, 600, 20, -70)]
     df = pings(spark, rows)

@@ -1,8 +1,9 @@
 """Exact nearest neighbours in feature space, and the detectors that rest on them.
 
 The reference rows are cut into blocks. Queries meet one block at a time in a vectorised kernel, which returns the best k of
-the block; a grouped step keeps the best k of all blocks. A reference of at most BROADCAST_BYTES is one block that is sent to
-all tasks, so that queries need no shuffle at all.
+the block; a grouped step keeps the best k of all blocks. Inside, a block is cut into cells of near rows, and cells whose box is
+farther than the best k are not looked at. A reference of at most BROADCAST_BYTES is one block that is sent to all tasks; its
+queries are shuffled by region, so that those of a search are near each other.
 """
 
 from __future__ import annotations
@@ -16,28 +17,139 @@ from ..sources.staging import staged
 
 #: A reference up to so large is broadcast; beyond it, rows of one block.
 BROADCAST_BYTES, BLOCK_ROWS = 64 << 20, 50_000
+#: Reference rows of a cell, queries that search together, cells that they visit at first and at most at once, reference rows of a region.
+CELL, QUERIES, FIRST, MOST, REGION = 32, 32, 16, 512, 4096
 _EDGES = "id long, nn_id long, dist double"
 
 
-def _best(q: np.ndarray, qid: np.ndarray, ref: np.ndarray, rid: np.ndarray, k: int, self_too: bool) -> pd.DataFrame:
-    """The k nearest rows of ref for each query, ties to the smaller id."""
+class Cells:
+    """Reference rows in cells of CELL neighbouring rows, cut at medians; a short cell is filled with NaN.
+
+    Of equal rows only the `most` smallest ids are kept, as a search for `most` rows can't return more of them.
+    """
+
+    def __init__(self, ref: np.ndarray, rid: np.ndarray, most: int):
+        order = np.lexsort((rid, *ref.T))
+        ref, rid = ref[order], rid[order]
+        same = np.concatenate([[False], (ref[1:] == ref[:-1]).all(axis=1)]) if len(ref) else np.zeros(0, bool)
+        at = np.arange(len(ref))
+        if len(np.unique(rid)) == len(rid):
+            kept = at - np.maximum.accumulate(np.where(same, 0, at)) < most
+        else:  # rows that share an id may all be the query's own
+            kept = np.ones(len(at), bool)
+        ref, rid = ref[kept], rid[kept]
+        cut = list(_cuts(ref, CELL))
+        self.rows = np.full((len(cut), CELL, ref.shape[1]), np.nan)
+        self.ids = np.full((len(cut), CELL), -1, rid.dtype if len(rid) else np.int64)
+        for i, some in enumerate(cut):
+            self.rows[i, : len(some)], self.ids[i, : len(some)] = ref[some], rid[some]
+        self.lo, self.hi = (np.array([f(ref[some], axis=0) for some in cut]).reshape(len(cut), ref.shape[1]) for f in (np.min, np.max))
+
+
+def _widest(rows: np.ndarray) -> int:
+    """The column with the widest middle of some rows; rare values far off would make cuts that part nothing. Else the widest."""
+    some = np.sort(rows[:: max(1, len(rows) // 256)], axis=0)
+    middle = some[len(some) * 9 // 10] - some[len(some) // 10]
+    return int(np.argmax(middle if middle.any() else rows.max(axis=0) - rows.min(axis=0)))
+
+
+def _cuts(rows: np.ndarray, size: int):
+    """Places of the rows, in pieces of size of neighbouring rows; one may be shorter."""
+    left = [np.arange(len(rows))] if len(rows) else []
+    while left:
+        at = left.pop()
+        if len(at) <= size:
+            yield at
+            continue
+        values = rows[at]
+        column = values[:, _widest(values)]
+        half = size * max(1, len(at) // size // 2)
+        order = np.argpartition(column, half - 1)
+        left += [at[order[:half]], at[order[half:]]]
+
+
+def _best(q: np.ndarray, qid: np.ndarray, cells: Cells, k: int, self_too: bool) -> pd.DataFrame:
+    """The k nearest reference rows of each query, ties to the smaller id.
+
+    Neighbouring queries visit cells from near to far until the next cell's box is farther than the k-th best of all of them.
+    A matrix product finds which rows may be near enough, with room for its rounding; the distances of these are made in full.
+    """
     parts = []
-    step = max(1, 4_000_000 // max(1, len(ref) * max(1, ref.shape[1])))
-    for at in range(0, len(q), step):
-        some, ids = q[at : at + step], qid[at : at + step]
-        d = np.sqrt(((some[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2))
-        if not self_too:
-            d[ids[:, None] == rid[None, :]] = np.inf
-        n = min(k, len(ref))
-        # all that are as near as the k-th, then in order of distance and id
-        limit = np.partition(d, n - 1, axis=1)[:, n - 1]
-        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        order = np.lexsort((rid[col], d[row, col], row))
-        row, col = row[order], col[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col = row[rank < n], col[rank < n]
-        parts.append(pd.DataFrame({"id": ids[row], "nn_id": rid[col], "dist": d[row, col]}))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"id": [], "nn_id": [], "dist": []})
+    width = q.shape[1]
+    for some in _cuts(q, QUERIES):
+        own, ids = q[some], qid[some]
+        lo, hi = own.min(axis=0), own.max(axis=0)
+        away = (np.maximum(0.0, np.maximum(cells.lo - hi, lo - cells.hi)) ** 2).sum(axis=1)
+        order = np.argsort(away)
+        away = away[order]
+        centre = (lo + hi) / 2
+        mine = own - centre
+        squares = (mine**2).sum(axis=1)
+        limit = np.full(len(own), np.inf)
+        row, nn, dist = np.zeros(0, np.int64), np.zeros(0, cells.ids.dtype), np.zeros(0)
+        at, take = 0, FIRST
+        while at < len(order):
+            far = np.searchsorted(away, limit.max() ** 2 * (1 + 1e-9), side="right")
+            end = min(at + take, far)
+            if end <= at:
+                break
+            there, tid = cells.rows[order[at:end]].reshape(-1, width), cells.ids[order[at:end]].ravel()
+            moved = there - centre
+            theirs = (moved**2).sum(axis=1)
+            d = squares[:, None] + theirs[None, :] - 2.0 * (mine @ moved.T)
+            slack = 1e-13 * (squares + np.nanmax(theirs))
+            if at == 0 and d.shape[1] > k:  # a first limit
+                first = np.where(np.isnan(d) | ((ids[:, None] == tid[None, :]) & (not self_too)), np.inf, d)
+                limit = np.sqrt(np.maximum(0.0, np.partition(first, k - 1, axis=1)[:, k - 1] + slack))
+            r, c = np.nonzero(d <= (limit**2 * (1 + 1e-9) + slack)[:, None])
+            if not self_too:
+                other = ids[r] != tid[c]
+                r, c = r[other], c[other]
+            row, nn = np.concatenate([row, r]), np.concatenate([nn, tid[c]])
+            dist = np.concatenate([dist, np.sqrt(((own[r] - there[c]) ** 2).sum(axis=1))])
+            # in order of distance and id, the k best of each
+            by = np.lexsort((nn, dist, row))
+            rank = np.arange(len(by)) - np.searchsorted(row[by], row[by])
+            by = by[rank < k]
+            row, nn, dist, rank = row[by], nn[by], dist[by], rank[rank < k]
+            last = rank == k - 1
+            limit[row[last]] = np.minimum(limit[row[last]], dist[last])
+            at, take = end, min(MOST, take * 4)
+        parts.append(pd.DataFrame({"id": ids[row], "nn_id": nn, "dist": dist}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"id": pd.Series([], dtype="int64"), "nn_id": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype=float)})
+
+
+class Regions:
+    """Space cut at medians of the reference into regions of REGION rows or fewer, to bring queries together that are near each other."""
+
+    def __init__(self, ref: np.ndarray):
+        self.count = 0
+        self.root = self._cut(ref)
+
+    def _cut(self, rows: np.ndarray):
+        if len(rows) > REGION:
+            column = _widest(rows)
+            value = float(np.median(rows[:, column]))
+            below = rows[:, column] < value
+            if not below.any():
+                value = np.nextafter(value, np.inf)
+                below = rows[:, column] < value
+            if below.any() and not below.all():
+                return column, value, self._cut(rows[below]), self._cut(rows[~below])
+        self.count += 1
+        return self.count - 1
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows), np.int64)
+        left = [(self.root, np.arange(len(rows)))]
+        while left:
+            node, at = left.pop()
+            if isinstance(node, int):
+                out[at] = node
+            else:
+                below = rows[at, node[0]] < node[1]
+                left += [(node[2], at[below]), (node[3], at[~below])]
+        return out
 
 
 def knn(queries: DataFrame, reference: DataFrame, columns: list[str], k: int, by: str | None = None, id_col: str = "id", self_too: bool = False) -> DataFrame:
@@ -51,16 +163,23 @@ def knn(queries: DataFrame, reference: DataFrame, columns: list[str], k: int, by
     n = r.count()
     if n * 8 * (len(columns) + 2) <= BROADCAST_BYTES:
         table = r.toPandas()  # bounded by the check above
-        held = queries.sparkSession.sparkContext.broadcast({name: (at[columns].to_numpy(float), at["id"].to_numpy()) for name, at in table.groupby("key")})
+        held = queries.sparkSession.sparkContext.broadcast({name: Cells(at[columns].to_numpy(float), at["id"].to_numpy(), k + 1) for name, at in table.groupby("key")})
+
+        areas = {name: Regions(at[columns].to_numpy(float)) for name, at in table.groupby("key")}
 
-        def run(batches):
+        def placed(batches):
             for pdf in batches:
                 for name, at in pdf.groupby("key"):
-                    if name in held.value:
-                        ref, rid = held.value[name]
-                        yield _best(at[columns].to_numpy(float), at["id"].to_numpy(), ref, rid, k, self_too)
+                    if name in areas:
+                        yield at.assign(region=areas[name].of(at[columns].to_numpy(float)))
+
+        def run(key: tuple, at: pd.DataFrame) -> pd.DataFrame:
+            return _best(at[columns].to_numpy(float), at["id"].to_numpy(), held.value[key[0]], k, self_too)
 
-        return q.mapInPandas(run, _EDGES)
+        spark = queries.sparkSession
+        tasks = max(1, min(sum(a.count for a in areas.values()), 8 * spark.sparkContext.defaultParallelism))
+        kinds = ", ".join(f"`{c}` {q.schema[c].dataType.simpleString()}" for c in q.columns)
+        return q.mapInPandas(placed, f"{kinds}, region long").repartition(tasks, "key", "region").groupBy("key", "region").applyInPandas(run, _EDGES)
 
     blocks = -(-n // BLOCK_ROWS)
     r = r.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
@@ -73,7 +192,7 @@ def knn(queries: DataFrame, reference: DataFrame, columns: list[str], k: int, by
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nn_id": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype=float)})
-        return _best(a[columns].to_numpy(float), a["id"].to_numpy(), b[columns].to_numpy(float), b["id"].to_numpy(), k, self_too)
+        return _best(a[columns].to_numpy(float), a["id"].to_numpy(), Cells(b[columns].to_numpy(float), b["id"].to_numpy(), k + 1), k, self_too)
 
     some = q.groupBy("key", "block", "part").cogroup(r.groupBy("key", "block", "part")).applyInPandas(both, _EDGES)
     return some.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "nn_id"))), 1, k).alias("best")).select("id", F.explode("best").alias("x")).select("id", "x.nn_id", "x.dist")
