@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,13 @@ def merged(batches, rows: int):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def settle(spark: SparkSession) -> None:
+    """Give back what the driver holds but doesn't use, in Python and in the JVM, which grows its heap while there is room before it collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    trim()
+
+
 def trim() -> None:
     """Give back what a worker's allocators hold but don't use; called at the end of a task, as workers live on."""
     import pyarrow as pa

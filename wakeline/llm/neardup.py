@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hottest, small_batches, stage, trim, with_ids
+from .common import documents, hottest, settle, small_batches, stage, trim, with_ids
 from .graph import components
 from .wordhash import mix, sequence_keys, shingles, utf8, words
 
@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
     small_batches(spark)
+    settle(spark)  # a model fitted before is in nobody's hands any more
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = stage(texts.mapInArrow(_features(size, scheme), _FEATURES), "near-features")
     copies = stage(every.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "near-copies")
@@ -257,6 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = nodes.select("id", F.col("id").alias("component"))
     links = None
     for turn in range(HUB_ROUNDS + 1):
+        settle(spark)
         # every member with its component; buckets of one component have nothing more to tell
         known = members.join(labels, "id") if links is not None else members.withColumn("component", F.col("id"))
         if turn < HUB_ROUNDS:

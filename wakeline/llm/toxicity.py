@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, spare, stage, trim
+from .common import documents, settle, small_batches, spare, stage, trim
 from .neardup import bands, samples
 from .wordhash import shingles, utf8, words
 
@@ -470,6 +470,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     made = texts.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(_describe, "id long, words array<string>, n array<long>, sample binary, label int")
     made = stage(made, "toxicity-examples")
+    settle(docs.sparkSession)
 
     def examples():
         for y in (1, 0):
@@ -477,7 +478,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
                 yield r.id, dict(zip(r.words, r.n, strict=True)), None if r.sample is None else np.frombuffer(r.sample, np.uint64), r.label
 
     model = Model(examples(), n[1] / (n[0] + n[1]))
-    trim()
+    settle(docs.sparkSession)
     return model
 
 
