@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import bpe, mixing, neardup, toxicity
-from wakeline.llm.common import documents, spare, stage, with_ids
+from wakeline.llm.common import documents, settle, spare, stage, with_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     prefix = spare(docs.columns, "_toxic_")
     scored = toxicity.score(docs, model, keep=tuple(docs.columns), prefix=prefix)
+    del model  # executors have it
+    settle(spark)
     return scored.filter(F.col(f"{prefix}predicted") == 0).select(*docs.columns)
 
 

@@ -803,3 +803,28 @@ def test_tokens_left_apart():
     assert all(machine._apart(a, b) == (machine.merge(machine.text[a] + machine.text[b]) == [a, b]) for a, b in pairs)
     with pytest.raises(ValueError, match="out of order"):
         counts.MergeMachine({b"a": 0, b"aa": 1, b"aaa": 2}, {(0, 0): (5, 1), (1, 0): (3, 2)})
+
+
+def test_pipeline_driver_gives_memory_back(spark, sf_dir, monkeypatch):
+    """The C heap of the driver's JVM is trimmed after each staged table, and the model is gone before rows are scored."""
+    import weakref
+
+    import corpus_pipeline as C
+    from wakeline.llm import common
+
+    assert "native heap" in common.trim_jvm(spark)
+    trims, models, alive = [], [], []
+    fit, trim = toxicity.fit, common.trim_jvm
+    monkeypatch.setattr(common, "trim_jvm", lambda s: trims.append(1) or trim(s))
+    common.stage(spark.range(3), "trimmed")
+    assert trims
+
+    def fitted(*args):
+        model = fit(*args)
+        models.append(weakref.ref(model))
+        return model
+
+    monkeypatch.setattr(toxicity, "fit", fitted)
+    monkeypatch.setattr(C, "settle", lambda s: alive.append(models[0]() is not None))
+    C.drop_toxic(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert alive == [False]

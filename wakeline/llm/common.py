@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    trim_jvm(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -96,9 +98,34 @@ def settle(spark: SparkSession) -> None:
     """Give back what the driver holds but doesn't use, in Python and in the JVM, which grows its heap while there is room before it collects."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
     trim()
 
 
+def trim_jvm(spark: SparkSession) -> str | None:
+    """Give back what the C allocator of the driver's JVM holds but doesn't use: compilers and codecs of many threads leave several hundred MB.
+
+    Returns the JVM's answer; None from a JVM without the command (System.trim_native_heap), where nothing happens.
+    """
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    array = lambda kind, *items: _array(gateway, kind, items)
+    try:
+        kinds = [jvm.java.lang.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        # by the interface: the server's own class isn't open to reflection
+        call = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, name, "systemTrimNativeHeap", None, None))
+    except Py4JError:  # another JVM
+        return None
+
+
+def _array(gateway, kind, items):
+    out = gateway.new_array(kind, len(items))
+    for i, x in enumerate(items):
+        out[i] = x
+    return out
+
+
 def trim() -> None:
     """Give back what a worker's allocators hold but don't use; called at the end of a task, as workers live on."""
     import pyarrow as pa

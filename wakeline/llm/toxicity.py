@@ -38,6 +38,8 @@ from .wordhash import shingles, utf8, words
 
 #: The bound of what is learnt from and gathered: the different words of so many examples of each label.
 PER_CLASS = 2000
+#: Parts in which each label's examples come to the driver, one job each.
+PARTS = 8
 #: Evidence that gives a word its full weight (beginnings and repeated forms count from there on), and the weight of words without any.
 LEAST_Z, LEAST_RATIO, POWER, PLAIN = 3.4, 4.0, 4, 0.02
 BEGINNINGS = (4, 5, 6)
@@ -474,7 +476,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     def examples():
         for y in (1, 0):
-            for r in made.filter(F.col("label") == y).toLocalIterator():
+            for r in made.filter(F.col("label") == y).coalesce(PARTS).toLocalIterator():
                 yield r.id, dict(zip(r.words, r.n, strict=True)), None if r.sample is None else np.frombuffer(r.sample, np.uint64), r.label
 
     model = Model(examples(), n[1] / (n[0] + n[1]))
