@@ -12,6 +12,7 @@ from wakeline.operators import evaluate, neighbors, proximity, rules, scaling, s
 from wakeline.operators.features import estimate_contamination, hull_area, interval_of, track_features
 from wakeline.operators.kinematics import kinematics, ping_features, rolling_slow
 from wakeline.plans.sql import haversine
+from wakeline.sources.staging import staged
 
 T0 = datetime(2025, 1, 1)
 NM_LAT = KM_PER_NM / (2 * np.pi * 6371.0088 / 360)
@@ -149,6 +150,57 @@ def test_near_rows_are_found_by_cells():
     assert neighbors.Regions(wide).count > 1
 
 
+def test_large_reference_is_searched_by_region(spark, monkeypatch):
+    """Against all pairs: copies that no cut parts, a small group, a row without group; a query visits few of the regions."""
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(neighbors, "CUT_ROWS", 1000)
+    tables = {}
+    monkeypatch.setattr(neighbors, "staged", lambda df, name: tables.setdefault(name + "-" * len(tables), staged(df, name)))
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(1600, 3)), 2)
+    x[:300] = x[0]
+    ids, by = rng.permutation(1600), np.where(np.arange(1600) < 1590, "a", "b")
+    df = spark.createDataFrame([(int(i), str(b), *map(float, r)) for i, b, r in zip(ids, by, x, strict=True)] + [(1600, None, 0.0, 0.0, 0.0)], "id long, b string, x double, y double, z double")
+    got = {}
+    for r in neighbors.knn(df, df, ["x", "y", "z"], 4, "b").collect():
+        got.setdefault(r.id, []).append((r.dist, r.nn_id))
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    for i in range(1600):
+        others = np.flatnonzero((by == by[i]) & (ids != ids[i]))
+        assert sorted(got.pop(ids[i])) == [(d[i, j], ids[j]) for j in others[np.lexsort((ids[others], d[i, others]))[:4]]]
+    assert not got
+    first = next(t for name, t in tables.items() if name.startswith("first"))
+    # other regions that a query visits, of some 20
+    assert first.agg(F.avg(F.size("more"))).head()[0] < 5
+
+
+def test_stays_of_tracks_in_many_batches(spark):
+    """Tracks that end inside a batch, go on over several, or have no entity; the same as each track by itself."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for entity in (None, 1, 2, 3, 4, 5):
+        for i in range(int(rng.integers(1, 40))):
+            rows.append((entity, 10 * i, 10 + float(rng.choice([0, 0, 0, 0, 0.5])), -70))
+    df = pings(spark, rows)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = stays.detect_stays(df).orderBy("entity_id", "timestamp").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(rows) and any(r.is_stay for r in got)
+    for entity in {r[0] for r in rows}:
+        mine = [r for r in got if r.entity_id == entity]
+        lat, minutes = np.array([r.lat for r in mine]), 10.0 * np.arange(len(mine))
+        want = stays.window_stays(lat, np.full(len(mine), -70.0), minutes)
+        assert [r.stay_id for r in mine] == want.tolist()
+        for number in set(want) - {-1}:
+            at = np.flatnonzero(want == number)
+            assert {mine[i].stay_duration_min for i in at} == {minutes[at[-1]] - minutes[at[0]]}
+            assert mine[at[0]].stay_center_lat == pytest.approx(lat[at].mean())
+
+
 def test_interval_and_contamination(spark):
     rows = [(1, 15 * i, 10, -70) for i in range(5)] + [(2, 30 * i, 10, -70) for i in range(5)] + [(3, 0, 10, -70), (3, 600, 20, -70)]
     df = pings(spark, rows)

@@ -1,9 +1,9 @@
 """Exact nearest neighbours in feature space, and the detectors that rest on them.
 
-The reference rows are cut into blocks. Queries meet one block at a time in a vectorised kernel, which returns the best k of
-the block; a grouped step keeps the best k of all blocks. Inside, a block is cut into cells of near rows, and cells whose box is
-farther than the best k are not looked at. A reference of at most BROADCAST_BYTES is one block that is sent to all tasks; its
-queries are shuffled by region, so that those of a search are near each other.
+Reference rows are cut into cells of near rows, and cells whose box is farther than the best k are not looked at. A reference of
+at most BROADCAST_BYTES is sent to all tasks; its queries are shuffled by region, so that those of a search are near each other.
+A larger one is cut into regions of about REGION_ROWS rows, each with the box of its rows. Queries search their own region first,
+then those others whose box is not farther than their k-th best so far; a grouped step keeps the best k of all.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 
-#: A reference up to so large is broadcast; beyond it, rows of one block.
-BROADCAST_BYTES, BLOCK_ROWS = 64 << 20, 50_000
+#: A reference up to so large is broadcast; beyond it, reference rows of a region, queries of one search in it, rows that its cuts are made from.
+BROADCAST_BYTES, BLOCK_ROWS, CUT_ROWS = 64 << 20, 50_000, 1 << 17
 #: Reference rows of a cell, queries that search together, cells that they visit at first and at most at once, reference rows of a region.
 CELL, QUERIES, FIRST, MOST, REGION = 32, 32, 16, 512, 4096
 _EDGES = "id long, nn_id long, dist double"
@@ -68,8 +68,8 @@ def _cuts(rows: np.ndarray, size: int):
         left += [at[order[:half]], at[order[half:]]]
 
 
-def _best(q: np.ndarray, qid: np.ndarray, cells: Cells, k: int, self_too: bool) -> pd.DataFrame:
-    """The k nearest reference rows of each query, ties to the smaller id.
+def _search(q: np.ndarray, qid: np.ndarray, cells: Cells, k: int, self_too: bool, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the query, id and distance of its k nearest reference rows, nearest first, ties to the smaller id; those farther than within may be left out.
 
     Neighbouring queries visit cells from near to far until the next cell's box is farther than the k-th best of all of them.
     A matrix product finds which rows may be near enough, with room for its rounding; the distances of these are made in full.
@@ -85,7 +85,8 @@ def _best(q: np.ndarray, qid: np.ndarray, cells: Cells, k: int, self_too: bool)
         centre = (lo + hi) / 2
         mine = own - centre
         squares = (mine**2).sum(axis=1)
-        limit = np.full(len(own), np.inf)
+        limit = np.full(len(own), np.inf) if within is None else within[some]
+        left = np.column_stack([-2.0 * mine, squares, np.ones(len(own))])
         row, nn, dist = np.zeros(0, np.int64), np.zeros(0, cells.ids.dtype), np.zeros(0)
         at, take = 0, FIRST
         while at < len(order):
@@ -94,17 +95,21 @@ def _best(q: np.ndarray, qid: np.ndarray, cells: Cells, k: int, self_too: bool)
             if end <= at:
                 break
             there, tid = cells.rows[order[at:end]].reshape(-1, width), cells.ids[order[at:end]].ravel()
-            moved = there - centre
-            theirs = (moved**2).sum(axis=1)
-            d = squares[:, None] + theirs[None, :] - 2.0 * (mine @ moved.T)
+            right = np.ones((len(there), width + 2))
+            moved = np.subtract(there, centre, out=right[:, :width])
+            theirs = right[:, -1] = np.einsum("ij,ij->i", moved, moved)
+            d = left @ right.T
             slack = 1e-13 * (squares + np.nanmax(theirs))
             if at == 0 and d.shape[1] > k:  # a first limit
                 first = np.where(np.isnan(d) | ((ids[:, None] == tid[None, :]) & (not self_too)), np.inf, d)
-                limit = np.sqrt(np.maximum(0.0, np.partition(first, k - 1, axis=1)[:, k - 1] + slack))
-            r, c = np.nonzero(d <= (limit**2 * (1 + 1e-9) + slack)[:, None])
+                limit = np.minimum(limit, np.sqrt(np.maximum(0.0, np.partition(first, k - 1, axis=1)[:, k - 1] + slack)))
+            r, c = np.divmod(np.flatnonzero(d <= (limit**2 * (1 + 1e-9) + slack)[:, None]), d.shape[1])
             if not self_too:
                 other = ids[r] != tid[c]
                 r, c = r[other], c[other]
+            at, take = end, min(MOST, take * 4)
+            if not len(r):
+                continue
             row, nn = np.concatenate([row, r]), np.concatenate([nn, tid[c]])
             dist = np.concatenate([dist, np.sqrt(((own[r] - there[c]) ** 2).sum(axis=1))])
             # in order of distance and id, the k best of each
@@ -114,20 +119,26 @@ def _best(q: np.ndarray, qid: np.ndarray, cells: Cells, k: int, self_too: bool)
             row, nn, dist, rank = row[by], nn[by], dist[by], rank[rank < k]
             last = rank == k - 1
             limit[row[last]] = np.minimum(limit[row[last]], dist[last])
-            at, take = end, min(MOST, take * 4)
-        parts.append(pd.DataFrame({"id": ids[row], "nn_id": nn, "dist": dist}))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"id": pd.Series([], dtype="int64"), "nn_id": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype=float)})
+        parts.append((some[row], nn, dist))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _best(q: np.ndarray, qid: np.ndarray, cells: Cells, k: int, self_too: bool, within: np.ndarray | None = None) -> pd.DataFrame:
+    row, nn, dist = _search(q, qid, cells, k, self_too, within)
+    return pd.DataFrame({"id": np.asarray(qid, np.int64)[row], "nn_id": np.asarray(nn, np.int64), "dist": dist})
 
 
 class Regions:
-    """Space cut at medians of the reference into regions of REGION rows or fewer, to bring queries together that are near each other."""
+    """Space cut at medians of the reference into regions of `most` rows or fewer, to bring rows together that are near each other."""
 
-    def __init__(self, ref: np.ndarray):
-        self.count = 0
+    def __init__(self, ref: np.ndarray, most: int = REGION):
+        self.count, self.most = 0, most
         self.root = self._cut(ref)
 
     def _cut(self, rows: np.ndarray):
-        if len(rows) > REGION:
+        if len(rows) > self.most:
             column = _widest(rows)
             value = float(np.median(rows[:, column]))
             below = rows[:, column] < value
@@ -181,21 +192,87 @@ def knn(queries: DataFrame, reference: DataFrame, columns: list[str], k: int, by
         kinds = ", ".join(f"`{c}` {q.schema[c].dataType.simpleString()}" for c in q.columns)
         return q.mapInPandas(placed, f"{kinds}, region long").repartition(tasks, "key", "region").groupBy("key", "region").applyInPandas(run, _EDGES)
 
-    blocks = -(-n // BLOCK_ROWS)
-    r = r.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    # every query visits every block of the reference, some rows at a time
-    part = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(max(1, blocks)))
-    q = q.withColumn("part", part).withColumn("block", F.explode(every))
-    r = r.withColumn("part", F.explode(every))
-
-    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    # a null key equals no other, as in a join
+    r = r.filter("key is not null")
+    q = r if queries is reference else q.filter("key is not null")
+    return _by_region(q, r, n, columns, k, self_too)
+
+
+def _by_region(q: DataFrame, r: DataFrame, n: int, columns: list[str], k: int, self_too: bool) -> DataFrame:
+    """knn of a reference of n rows that is too large to be broadcast. Where regions are cut is found on CUT_ROWS rows or so; every row is in one."""
+    spark = q.sparkSession
+    share = min(1.0, CUT_ROWS / n)
+    table = r.sample(False, share, 1).toPandas() if share < 1 else r.toPandas()  # bounded by CUT_ROWS
+    areas = {name: Regions(at[columns].to_numpy(float), max(1, int(BLOCK_ROWS * share))) for name, at in table.groupby("key")}
+    kinds = ", ".join(f"`{c}` {q.schema[c].dataType.simpleString()}" for c in q.columns)
+
+    def placed(batches):
+        for pdf in batches:
+            for name, at in pdf.groupby("key"):
+                rows = at[columns].to_numpy(float)
+                yield at.assign(region=areas[name].of(rows) if name in areas else np.zeros(len(at), np.int64))
+
+    def place(df: DataFrame) -> DataFrame:
+        return staged(df.mapInPandas(placed, f"{kinds}, region long"), "regions")
+
+    same = q is r
+    r = place(r)
+    q = r.select(*(F.col(c).alias(c) for c in r.columns)) if same else place(q)  # names of its own, as it meets r
+    at = ["key", "region"]
+    ends = [f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (("lo", F.min), ("hi", F.max))]
+    found = r.groupBy(*at).agg(F.count("*").alias("rows"), *ends).toPandas()  # a row for each region
+    boxes = {name: tuple(some[[f"{end}{i}" for i in range(len(columns))]].to_numpy(float) for end in ("lo", "hi")) + (some["region"].to_numpy(),) for name, some in found.groupby("key")}
+    if (found["rows"] > 4 * BLOCK_ROWS).any():  # equal rows are not cut; a search returns of them the smallest ids
+        crowded = F.broadcast(spark.createDataFrame(found.loc[found["rows"] > 4 * BLOCK_ROWS, at]))
+        first = Window.partitionBy(*at, *columns).orderBy("id")
+        few = r.join(crowded, at, "left_semi").withColumn("_rank", F.dense_rank().over(first)).filter(F.col("_rank") <= k + 1).drop("_rank")
+        r = staged(r.join(crowded, at, "left_anti").unionByName(few.select(*r.columns)), "regions")
+
+    def met(asked: DataFrame, run, schema: str) -> DataFrame:
+        """run on queries and the reference rows of each region, BLOCK_ROWS queries or so at a time."""
+        parts = F.broadcast(staged(asked.groupBy(*at).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")), "parts"))
+        here = asked.join(parts, at).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+        there = r.join(parts, at).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        tasks = max(1, min(parts.agg(F.sum("parts")).head()[0] or 1, 64 * spark.sparkContext.defaultParallelism))
+        by = [*at, "part"]
+        return here.repartition(tasks, *by).groupBy(*by).cogroup(there.repartition(tasks, *by).groupBy(*by)).applyInPandas(run, schema)
+
+    def own(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """For each query its best, how far they reach, and the other regions that may hold better ones."""
+        rows, qid = a[columns].to_numpy(float), a["id"].to_numpy()
+        row, nn, dist = _search(rows, qid, Cells(b[columns].to_numpy(float), b["id"].to_numpy(), k + 1), k, self_too)
+        order = np.argsort(row, kind="stable")
+        row, nn, dist = row[order], nn[order], dist[order]
+        begin, end = np.searchsorted(row, np.arange(len(a))), np.searchsorted(row, np.arange(len(a)), side="right")
+        within = np.full(len(a), np.inf)
+        full = end - begin == k
+        within[full] = dist[end[full] - 1]
+        lo, hi, regions = boxes.get(key[0], (np.zeros((0, len(columns))), np.zeros((0, len(columns))), np.zeros(0, np.int64)))
+        more = [[] for _ in range(len(a))]
+        for some in _cuts(rows, 256):
+            mine = rows[some]
+            between = (np.maximum(0.0, np.maximum(lo - mine.max(axis=0), mine.min(axis=0) - hi)) ** 2).sum(axis=1)
+            for box in np.flatnonzero((regions != key[1]) & (between <= within[some].max() ** 2 * (1 + 1e-9))):
+                away = (np.maximum(0.0, np.maximum(lo[box] - mine, mine - hi[box])) ** 2).sum(axis=1)
+                for i in some[away <= within[some] ** 2 * (1 + 1e-9)]:
+                    more[i].append(regions[box])
+        return a[["id", "key", *columns]].assign(within=within, more=more, nn=[nn[i:j] for i, j in zip(begin, end, strict=True)], dist=[dist[i:j] for i, j in zip(begin, end, strict=True)])
+
+    def others(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nn_id": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype=float)})
-        return _best(a[columns].to_numpy(float), a["id"].to_numpy(), Cells(b[columns].to_numpy(float), b["id"].to_numpy(), k + 1), k, self_too)
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nn": pd.Series([], dtype=object), "dist": pd.Series([], dtype=object)})
+        qid = a["id"].to_numpy()
+        row, nn, dist = _search(a[columns].to_numpy(float), qid, Cells(b[columns].to_numpy(float), b["id"].to_numpy(), k + 1), k, self_too, a["within"].to_numpy(float))
+        order = np.argsort(row, kind="stable")
+        row, nn, dist = row[order], nn[order], dist[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        return pd.DataFrame({"id": qid[row[first]], "nn": np.split(nn, first[1:]) if len(row) else [], "dist": np.split(dist, first[1:]) if len(row) else []})
 
-    some = q.groupBy("key", "block", "part").cogroup(r.groupBy("key", "block", "part")).applyInPandas(both, _EDGES)
-    return some.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "nn_id"))), 1, k).alias("best")).select("id", F.explode("best").alias("x")).select("id", "x.nn_id", "x.dist")
+    found_first = staged(met(q, own, f"{kinds}, within double, more array<long>, nn array<long>, dist array<double>"), "first")
+    further = met(found_first.select("id", "key", *columns, "within", F.explode("more").alias("region")), others, "id long, nn array<long>, dist array<double>")
+    each = found_first.select("id", "nn", "dist").unionByName(further).select("id", F.arrays_zip("dist", "nn").alias("some"))
+    best = each.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k).alias("best"))
+    return best.select("id", F.explode("best").alias("x")).select("id", F.col("x.nn").alias("nn_id"), "x.dist")
 
 
 def knn_outlier(df: DataFrame, columns: list[str], k: int = 10, by: str | None = None, id_col: str = "id", least: int = 0) -> DataFrame:
@@ -203,10 +280,12 @@ def knn_outlier(df: DataFrame, columns: list[str], k: int = 10, by: str | None =
     if by is None or not least:
         edges = knn(df, df, columns, k, by, id_col)
     else:
-        size = Window.partitionBy(by)
-        sized = df.withColumn("_n", F.count("*").over(size))
+        size = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+        sized = staged(df.join(F.broadcast(size), F.col(by).eqNullSafe(F.col("_by"))).drop("_by"), "sized")
         own, rest = sized.filter(F.col("_n") >= least), sized.filter(F.col("_n") < least)
-        edges = knn(own, own, columns, k, by, id_col).unionByName(knn(rest, df, columns, k, None, id_col))
+        edges = knn(own, own, columns, k, by, id_col)
+        if rest.limit(1).count():
+            edges = edges.unionByName(knn(rest, sized, columns, k, None, id_col))
     return edges.groupBy("id").agg(F.avg("dist").alias("knn_outlier_score"))
 
 

@@ -1,7 +1,9 @@
-"""Stays of single tracks. Both detectors are sequential by nature, so each track is one group of a grouped map."""
+"""Stays of single tracks. Both detectors are sequential by nature, so each track is walked by one task, many tracks in a batch."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +30,13 @@ def window_stays(lat: np.ndarray, lon: np.ndarray, minutes: np.ndarray, radius:
     long enough is a stay, and the search goes on behind it; else it goes on at the next point.
     """
     n, out, number, i = len(lat), np.full(len(lat), -1), 0, 0
+    # places from which already the next point is too far, for certain; the others are walked
+    mean_lat, mean_lon = (lat[:-1] + lat[1:]) / 2, (lon[:-1] + lon[1:]) / 2
+    apart = np.maximum(_km(lat[:-1], lon[:-1], mean_lat, mean_lon), _km(lat[1:], lon[1:], mean_lat, mean_lon)) > radius * (1 + 1e-9)
     while i < n:
+        if i == n - 1 or apart[i]:
+            i += 1
+            continue
         total_lat, total_lon, last = lat[i], lon[i], -1
         for j in range(i + 1, n):
             total_lat, total_lon = total_lat + lat[j], total_lon + lon[j]
@@ -88,6 +96,17 @@ def cluster_stays(lat: np.ndarray, lon: np.ndarray, minutes: np.ndarray, radius:
     return out
 
 
+def _same(a, b) -> bool:
+    """Missing values are one track."""
+    return a == b or (pd.isna(a) and pd.isna(b))
+
+
+def _firsts(entities: pd.Series) -> np.ndarray:
+    """Places where a track begins, in rows that are ordered by entity."""
+    codes = pd.factorize(entities, use_na_sentinel=False)[0]
+    return np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+
+
 def detect_stays(df: DataFrame, method: str = "window") -> DataFrame:
     """df with is_stay, stay_id (-1 outside), stay_center_lat, stay_center_lon, stay_duration_min; with method "window" also low_speed_flag.
 
@@ -99,18 +118,41 @@ def detect_stays(df: DataFrame, method: str = "window") -> DataFrame:
     ties = [c for c in ("event_id", "lat", "lon") if c in df.columns]
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp", *ties], kind="stable").reset_index(drop=True)
+        """Whole tracks, one after the other."""
         seconds = pdf["timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
         if method == "window":
             seconds = np.floor(seconds)
-        ids = find(pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), seconds / 60.0)
-        stays = pd.DataFrame({"stay_id": ids, "lat": pdf["lat"], "lon": pdf["lon"], "t": seconds}).query("stay_id >= 0").groupby("stay_id")
-        centre = stays[["lat", "lon"]].mean()
-        lasts = (stays["t"].max() - stays["t"].min()) / 60.0
-        place = pd.Series(ids)
-        return pdf.assign(is_stay=ids >= 0, stay_id=ids.astype("int32"), stay_center_lat=place.map(centre["lat"]).astype(float), stay_center_lon=place.map(centre["lon"]).astype(float), stay_duration_min=place.map(lasts).astype(float))
-
-    out = df.groupBy("entity_id").applyInPandas(of, schema)
+        lat, lon, first = pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), _firsts(pdf["entity_id"])
+        ids = np.concatenate([find(lat[a:b], lon[a:b], seconds[a:b] / 60.0) for a, b in zip(first, [*first[1:], len(pdf)], strict=True)])
+        stayed = np.flatnonzero(ids >= 0)
+        track = np.searchsorted(first, stayed, side="right")
+        stays = pd.DataFrame({"track": track, "stay_id": ids[stayed], "lat": lat[stayed], "lon": lon[stayed], "t": seconds[stayed]}).groupby(["track", "stay_id"])
+        values = {f"stay_center_{c}": stays[c].transform("mean") for c in ("lat", "lon")} | {"stay_duration_min": (stays["t"].transform("max") - stays["t"].transform("min")) / 60.0}
+        out = {name: np.full(len(pdf), np.nan) for name in values}
+        for name, value in values.items():
+            out[name][stayed] = value
+        return pdf.assign(is_stay=ids >= 0, stay_id=ids.astype("int32"), **out)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the last track of a batch may go on in the next ones
+        held = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = _firsts(pdf["entity_id"])[-1]
+            if held and (last or not _same(held[-1]["entity_id"].iloc[-1], pdf["entity_id"].iloc[0])):
+                whole = pd.concat([*held, pdf.iloc[:last]], ignore_index=True)
+                held = []
+            else:
+                whole = pdf.iloc[:last] if not held else pdf.iloc[:0]
+            if len(whole):
+                yield of(whole.reset_index(drop=True))
+            held.append(pdf.iloc[last:])
+        if held:
+            yield of(pd.concat(held, ignore_index=True))
+
+    inside = [F.col(c).asc_nulls_last() for c in ("timestamp", *ties)]
+    out = df.repartition("entity_id").sortWithinPartitions("entity_id", *inside).mapInPandas(walk, schema)
     for c in ("stay_center_lat", "stay_center_lon", "stay_duration_min"):
         out = out.withColumn(c, F.when(F.col("is_stay"), F.col(c)))
     return low_speed(out) if method == "window" else out

@@ -42,7 +42,8 @@ def run_ping_pipeline(df: DataFrame, preset: str = "iforest", trees: int = ifore
     made = staged(rules.apply_rules(ping_features(stayed), preset), "ping-features")
     if preset == "knn":
         scaled = scaling.standard_scale(made.select("event_id", "vessel_type", *KNN_COLUMNS), KNN_COLUMNS, "vessel_type")
-        score = neighbors.knn_outlier(scaled, KNN_COLUMNS, KNN_K, "vessel_type", "event_id", LEAST_ROWS)
+        # read for the limit and for the result
+        score = staged(neighbors.knn_outlier(scaled, KNN_COLUMNS, KNN_K, "vessel_type", "event_id", LEAST_ROWS), "scores")
         made = made.join(score.withColumnRenamed("id", "event_id"), "event_id", "left")
         limit = ev.score_threshold(made, "knn_outlier_score").head()[0]
         return rules.combine(made, F.col("knn_outlier_score") >= F.lit(limit))
